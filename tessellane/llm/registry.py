@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellane.llm import licenses, mixing, simhash, urls
+from tessellane.llm import licenses, mixing, packing, phrases, simhash, tokens, urls
 from tessellane.llm.shared import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokens.tokenizer_path())
+
+
+def op3_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clusters(table(spark, sf_dir, "documents"))
 
@@ -27,7 +39,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_simhash_near_duplicates, op6_license_scan, op8_source_mix, op9_url_filter)
+    f.__name__: f for f in (
+        op1_best_fit_packing, op2_token_counts, op3_phrase_fingerprints, op5_simhash_near_duplicates, op6_license_scan, op8_source_mix, op9_url_filter,
+    )
 }
 ORACLES: dict[str, str] = {
     "op6_license_scan": licenses.oracle(),
