@@ -60,28 +60,24 @@ def targets(by_source: DataFrame, share: float, most: int) -> DataFrame:
     return levels.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: int = 2, seed: str = "mix", text: str = "text") -> DataFrame:
-    """How many words of each document the mix takes.
+def _keyed(docs: DataFrame, seed: str, *more: Column, text: str = "text") -> DataFrame:
+    """doc_id, source, size, key, range: what mixing needs of each document."""
+    sized = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col(text)).alias("size"), random_key(F.col("doc_id"), seed).alias("key"), *more)
+    return sized.withColumn("range", F.conv(F.substring("key", 1, RANGE_DIGITS), 16, 10).cast("int"))
 
-    Returns doc_id, source, size, source_size, target, taken, and ``copies`` and ``last_words``: the document's whole
-    repeats and the words of a last, cut repeat. Budgets are whole words (the target's floor), cut exactly: each
-    source's ``taken`` adds up to its budget. Full epochs come first; the rest of the budget goes to the documents with
-    the smallest keys.
 
-    Null text and text without words have size 0 and take 0; null sources are one source, the last; an empty table
-    gives an empty table; repeated rows count as often as they occur, ties of the key fall to doc_id and size.
-    Other columns of ``docs`` are not read, so they can't clash.
-    """
-    sized = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col(text)).alias("size"), random_key(F.col("doc_id"), seed).alias("key"))
-    sized = store(sized.withColumn("range", F.conv(F.substring("key", 1, RANGE_DIGITS), 16, 10).cast("int")), "sizes")
+def _plan(sized: DataFrame, share: float, most: int) -> DataFrame:
+    """source, range, range_start, source_size, target: at most RANGES rows a source."""
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     per_range = Window.partitionBy("source").orderBy("range")
     goals = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), share, most)
     offsets = ranges.withColumn("range_start", F.sum("range_size").over(per_range) - F.col("range_size"))
-    plan = store(
-        offsets.alias("r").join(goals.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")))
-        .select("r.source", "range", "range_start", "source_size", "target"), "ranges",
-    )
+    made = offsets.alias("r").join(goals.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")))
+    return store(made.select("r.source", "range", "range_start", "source_size", "target"), "ranges")
+
+
+def _taken(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """``sized`` with source_size, target, epochs (whole repeats that all documents of the source get) and last (words of one more)."""
     within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sized.withColumn("upto", F.sum("size").over(within)).alias("d").join(
         plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.range") == F.col("p.range"))
@@ -90,14 +86,36 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, seed: str = "mix", t
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("range_start") - F.col("upto") + F.col("size")))
-    whole = (last == F.col("size")) & (F.col("size") > 0)
-    return placed.select(
-        "doc_id", F.col("d.source").alias("source"), "size", "source_size", "target",
-        (epochs * F.col("size") + last).cast("long").alias("taken"),
-        (epochs + whole.cast("long")).cast("long").alias("copies"),
-        F.when(whole, F.lit(0)).otherwise(last).cast("long").alias("last_words"),
-        "key",
-    )
+    return placed.select("d.*", "source_size", "target", epochs.cast("long").alias("epochs"), last.cast("long").alias("last"))
+
+
+def mix(docs: DataFrame, share: float = 1.5, most: int = 2, seed: str = "mix", text: str = "text") -> DataFrame:
+    """How many words of each document the mix takes: doc_id, source, size, source_size, target, taken.
+
+    Budgets are whole words (the target's floor), cut exactly: each source's ``taken`` adds up to its budget. Full epochs
+    come first; the rest of the budget goes to the documents with the smallest keys, the last of which is cut.
+
+    Null text and text without words have size 0 and take 0; null sources are one source, the last; an empty table
+    gives an empty table; repeated rows count as often as they occur, ties of the key fall to doc_id and size.
+    Other columns of ``docs`` are not read, so they can't clash.
+    """
+    sized = store(_keyed(docs, seed, text=text), "sizes")
+    got = _taken(sized, _plan(sized, share, most))
+    return got.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("last")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, share: float = 1.5, most: int = 2, seed: str = "mix", text: str = "text") -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, each as often as it is taken.
+
+    As ``mix``, but documents stay whole: the one in which the budget ends is taken if half of it or more fits. A
+    document without words is taken in full epochs. Texts are shuffled once, by (source, range).
+    """
+    sizes = store(_keyed(docs, seed, text=text), "sizes")
+    plan = _plan(sizes, share, most)
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    got = _taken(_keyed(docs, seed, row, text=text), plan)
+    copies = F.col("epochs") + ((F.col("last") > 0) & (2 * F.col("last") >= F.col("size"))).cast("long")
+    return got.where(copies > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("copy")).select("row.*")
 
 
 ORACLE = r"""

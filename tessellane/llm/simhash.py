@@ -119,54 +119,86 @@ def _leaves(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
     key, held = None, []
 
     def links() -> pa.RecordBatch:
-        rep = np.concatenate([h[0] for h in held])
-        pairs = forest(np.concatenate([h[1] for h in held]), radius)
-        at = np.array(pairs, np.int64).reshape(-1, 2)
-        return pa.record_batch([pa.array(rep[at[:, 0]]), pa.array(rep[at[:, 1]])], ["a", "b"])
+        bits = np.concatenate(held)
+        at = np.array(forest(bits.view(np.uint64), radius), np.int64).reshape(-1, 2)
+        return pa.record_batch([pa.array(bits[at[:, 0]]), pa.array(bits[at[:, 1]])], ["a", "b"])
 
     for batch in batches:
-        tree, leaf, rep, bits = (np.asarray(batch.column(i)) for i in range(4))
+        tree, leaf, bits = (np.asarray(batch.column(i)) for i in range(3))
         if not len(tree):
             continue
         cuts = [0, *(np.flatnonzero((np.diff(tree) != 0) | (np.diff(leaf) != 0)) + 1).tolist(), len(tree)]
         for s, e in zip(cuts, cuts[1:], strict=False):
             if (tree[s], leaf[s]) != key:
-                if sum(len(h[0]) for h in held) > 1:
+                if sum(map(len, held)) > 1:
                     yield links()
                 key, held = (tree[s], leaf[s]), []
-            held.append((rep[s:e].copy(), bits[s:e].view(np.uint64).copy()))
-    if sum(len(h[0]) for h in held) > 1:
+            held.append(bits[s:e].copy())
+    if sum(map(len, held)) > 1:
         yield links()
 
 
 def near_duplicates(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """(bits, component): the smallest doc_id that each fingerprint reaches over links of at most ``radius`` bits.
+    """(bits, group, smallest): each distinct fingerprint of ``prints`` (doc_id, bits) with its group and the group's smallest doc_id.
 
-    ``prints`` has (doc_id, bits). One row a distinct fingerprint.
+    A group is named by the smallest fingerprint that can be reached over links of at most ``radius`` bits.
     """
     spark = prints.sparkSession
-    points = store(prints.groupBy("bits").agg(F.min("doc_id").alias("rep")), "points")
+    points = store(prints.groupBy("bits").agg(F.min("doc_id").alias("least")), "points")
     masks = segments(points.count(), radius)
     # The mask's value is the path through the tree: which vantage points are how far. Radius 0 follows one path.
     trees = F.array(*[F.struct(F.lit(i).alias("tree"), F.col("bits").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("leaf")) for i, m in enumerate(masks)])
-    shards = points.select("rep", "bits", F.explode(trees).alias("t")).select("t.tree", "t.leaf", "rep", "bits")
+    shards = points.select("bits", F.explode(trees).alias("t")).select("t.tree", "t.leaf", "bits")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
     dealt = shards.repartition(parts, "tree", "leaf").sortWithinPartitions("tree", "leaf")
-    kind = points.schema["rep"].dataType.simpleString()
-    links = dealt.mapInArrow(lambda b: _leaves(b, radius), f"a {kind}, b {kind}")
+    links = dealt.mapInArrow(lambda b: _leaves(b, radius), "a long, b long")
     groups = components(links)
-    return points.join(groups, points["rep"] == groups["node"], "left").select("bits", F.coalesce("component", "rep").alias("component"))
+    named = points.join(groups, points["bits"] == groups["node"], "left").select("bits", "least", F.coalesce("component", "bits").alias("group"))
+    named = store(named, "named")
+    return named.join(named.groupBy("group").agg(F.min("least").alias("smallest")), "group").select("bits", "group", "smallest")
 
 
 def clusters(docs: DataFrame, text: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id (smallest doc_id reachable), one row a document.
 
     Null text is empty; texts without words have fingerprint zero and link like any other; documents with null doc_id
-    form no link of their own (their component is that of their fingerprint, null if no doc_id has it); repeated rows
-    stay; an empty table gives an empty table; texts are read whole; other columns aren't read.
+    link too, but name no component (it is null if no other document is in it); repeated rows stay; an empty table gives an empty table; texts are read whole; other columns aren't read.
     """
     prints = store(fingerprints(docs, text, width), "prints")
     groups = store(near_duplicates(prints, radius), "groups")
     return prints.join(groups, "bits").select(
-        "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
+        "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), F.col("smallest").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, text: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
+    """The rows of ``docs``, all columns, but one of each group of near-duplicates: the one of the smallest doc_id.
+
+    Rows with null doc_id come after all others in their group; among rows of one doc_id the smallest hash of the text
+    decides; rows that repeat in doc_id and text are one. Groups are those of ``clusters``.
+    """
+    small_batches(docs.sparkSession)
+    prints = store(_with_hash(docs, text, width), "prints")
+    groups = near_duplicates(prints.select("doc_id", "bits"), radius)
+    keys = prints.join(groups, "bits").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "h")).alias("k"))
+    keep = keys.select(F.col("k.doc_id").alias("kept_id"), F.col("k.h").alias("kept_h"))
+    times = prints.groupBy("doc_id", "h").agg(F.count("*").alias("times")).where("times > 1").select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h"), "times")
+    same = lambda a, b: a["kept_id"].eqNullSafe(b["kept_id"]) & (a["kept_h"] == b["kept_h"])
+    chosen = store(keep.join(times, same(keep, times), "left").select(keep["kept_id"], keep["kept_h"], F.col("times").isNotNull().alias("repeats")), "kept")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("own_id"), F.xxhash64(whole_text(text)).alias("own_h"))
+    on = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_h") == F.col("kept_h"))
+    lone = rows.join(chosen.where("not repeats"), on, "left_semi").select("row")
+    again = rows.join(chosen.where("repeats"), on, "left_semi").dropDuplicates(["own_id", "own_h"]).select("row")
+    return lone.unionByName(again).select("row.*")
+
+
+def _with_hash(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """doc_id, h (hash of the text), bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.array([fingerprint(t, width) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(bits, pa.int64())], ["doc_id", "h", "bits"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64(whole_text(text)).alias("h"), whole_text(text).alias("text")).mapInArrow(run, f"doc_id {kind}, h long, bits long")

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -277,6 +278,20 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.select("doc_id", whole_text(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text isn't scored toxic (score under 0.5)."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Scorer(sent.value)
+        for texts in batches:
+            yield pd.Series([own.score(t) for t in texts], dtype="float64")
+
+    return docs.where(scored(whole_text(text)) < 0.5)
+
+
 def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted: one row a document. Null doc_id counts as not held out."""
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
