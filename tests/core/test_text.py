@@ -1,0 +1,75 @@
+"""Tokenizers and text functions, on scripts that the tables don't hold."""
+
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessellane.functions import numeric, text
+
+CASES = {
+    "pro": [("Deploy V2 回滚，部署", ["deploy", "v2", "回", "滚", "部", "署", "回滚", "滚部", "部署"]), ("a回b滚", ["a", "回", "b", "滚"]), ("", []), ("é ok", ["ok"])],
+    "lab": [("How to ROLL_back 回滚，部署", ["roll_back", "回", "滚", "回滚", "部", "署", "部署"]), ("什么是回滚", ["什", "么", "回", "滚", "么是", "是回", "回滚"]), ("the a", []), ("", [])],
+    "easy": [("回滚 is Fine かな", ["is", "fine", "回", "滚", "回滚", "か", "な", "かな"]), ("한국", ["한", "국", "한국"]), ("", [])],
+    "kit": [("　RAG検索 x1。", ["rag", "検", "索", "x1"]), ("", [])],
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_tokenizers(spark, name):
+    df = spark.createDataFrame([(t,) for t, _ in CASES[name]], "text string")
+    assert [r.t for r in df.select(text.TOKENIZERS[name](F.col("text")).alias("t")).collect()] == [want for _, want in CASES[name]]
+
+
+def one(spark, column, **values):
+    df = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'string' if isinstance(v, str) else 'array<double>' if isinstance(v, list) else 'double'}" for k, v in values.items()))
+    return df.select(column.alias("x")).first().x
+
+
+def test_features_and_splits(spark):
+    assert one(spark, text.feat_kit(F.col("t"), 3), t="検索システム ab 検") == ["検索シ", "索シス", "システ", "ステム", "ab", "検"]
+    assert one(spark, text.split_sentences(F.col("t")), t="一。 二！三;x") == ["一。", "二！", "三;", "x"]
+    assert one(spark, text.split_paragraphs(F.col("t")), t="a\n \n b\n\n\nc ") == ["a", "b", "c"]
+    assert one(spark, text.hard_split(F.col("t"), 4), t="abcdefghij") == ["abcd", "efgh", "ij"]
+    assert one(spark, text.hard_split(F.col("t"), 4, 3), t="abcdefg") == ["abcd", "defg", "g"]
+    assert one(spark, text.hard_split(F.col("t"), 4), t="") == []
+    assert one(spark, text.preview(F.col("t"), 3), t="abcd") == "abc…"
+    assert one(spark, text.strip(F.col("t")), t="　 a b　") == "a b"
+    assert one(spark, text.cut_sentence(F.col("t"), 10), t="one two. three four") == "one two."
+    assert one(spark, text.cut_sentence(F.col("t"), 5), t="abcdefgh") == "abcde…"
+    assert one(spark, text.reference_numbers(F.col("t")), t="见 3、7到9 和 40到90") == [3, 7, 8, 9, 40]
+    assert one(spark, text.escape_html(F.col("t")), t='<a href="x">&') == "&lt;a href=&quot;x&quot;&gt;&amp;"
+
+
+@pytest.mark.parametrize(("answer", "n", "want"), [("x [S1] y [S2]", 2, True), ("x [S3]", 2, False), ("none", 2, False), ("[S0]", 2, False)])
+def test_citations(spark, answer, n, want):
+    assert one(spark, text.citations_hold(F.col("t"), F.lit(n)), t=answer) is want
+
+
+def fnv(s):
+    h = 2166136261
+    for b in s.encode():
+        h = (h ^ b) * 16777619 & 0xFFFFFFFF
+    return h
+
+
+@pytest.mark.parametrize("s", ["", "a", "rollback", "回滚", "é"])
+def test_hashes(spark, s):
+    assert one(spark, numeric.fnv1a(F.col("t")), t=s) == fnv(s)
+    assert one(spark, numeric.crc_bucket(F.col("t"), 2048), t=s) == zlib.crc32(s.encode()) % 2048
+    assert one(spark, numeric.crc_sign(F.col("t")), t=s) == (1.0 if zlib.crc32(s.encode()) & 2 else -1.0)
+
+
+def test_vectors(spark):
+    assert abs(one(spark, numeric.cosine(F.col("a"), F.col("b")), a=[1.0, 0.0], b=[1.0, 1.0]) - 2**-0.5) < 1e-12
+    assert one(spark, numeric.cosine(F.col("a"), F.col("b")), a=[0.0, 0.0], b=[1.0, 1.0]) == 0
+    with pytest.raises(Exception, match="different lengths"):
+        one(spark, numeric.cosine(F.col("a"), F.col("b")), a=[1.0], b=[1.0, 1.0])
+    p = one(spark, numeric.softmax(F.col("a")), a=[1000.0, 1001.0])
+    assert abs(sum(p) - 1) < 1e-12 and abs(p[1] / p[0] - 2.718281828459045) < 1e-9
+    n = one(spark, numeric.layer_norm(F.col("a")), a=[1.0, 2.0, 3.0])
+    assert abs(sum(n)) < 1e-9 and abs(n[2] - 1.2247) < 1e-3
+    assert one(spark, numeric.l2_normalized(F.col("a")), a=[3.0, 4.0]) == [0.6, 0.8]
+    assert abs(one(spark, numeric.gelu(F.col("x")), x=1.0) - 0.8413447) < 1e-6
+    assert one(spark, numeric.linear(F.col("a"), F.array(F.array(F.lit(1.0), F.lit(2.0))), F.array(F.lit(0.5))), a=[1.0, 1.0]) == [3.5]
+    assert one(spark, text.jaccard(F.array(F.lit("a")), F.array(F.lit("a"), F.lit("b"))), x=0.0) == 0.5
