@@ -14,6 +14,8 @@ from tessellane.functions.numeric import bm25, cosine, crc_bucket, crc_sign, fnv
 from tessellane.functions.text import TOKENIZERS, feat_kit
 
 RANK_DIGITS = 9
+#: Question vectors that are compared with the corpus in one scan of it.
+BLOCK = 512
 
 
 def tokens(corpus: DataFrame, tokenizer: str = "lab", key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -142,9 +144,10 @@ def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, chunk_id, score: cosine of every question vector with every chunk vector, questions in blocks.
 
     ``vectors`` (chunk_id, vec), ``queries`` (query_id, vec). The stated question set is gathered into arrays of
-    bounded size, so it is a scan of the vectors for each block and neither side is repeated row by row.
+    about ``BLOCK``, so it is a scan of the vectors for each block and no side is repeated row by row.
     """
-    blocks = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(16)).alias("block"), F.struct("query_id", F.col("vec").alias("q"), norm(F.col("vec")).alias("qn")).alias("asked"))
+    n_blocks = max(1, -(-queries.count() // BLOCK))
+    blocks = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block"), F.struct("query_id", F.col("vec").alias("q"), norm(F.col("vec")).alias("qn")).alias("asked"))
     grouped = blocks.groupBy("block").agg(F.collect_list("asked").alias("asked")).drop("block")
     pairs = vectors.join(grouped).select("chunk_id", "vec", F.explode("asked").alias("a"))
     return pairs.select(F.col("a.query_id").alias("query_id"), "chunk_id", cosine(F.col("vec"), F.col("a.q")).alias("score"))
