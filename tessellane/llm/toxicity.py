@@ -234,8 +234,8 @@ class Scorer:
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str = "text") -> DataFrame:
     """text, toxic: at most ``rows`` labelled rows that aren't held out, half of each label where there are enough.
 
-    Rows are taken by hash of doc_id: the threshold is set from the number of labels, so that the sample is spread over
-    the table; the final ``limit`` by label only trims what chance put above it. Null labels and ids don't count.
+    Rows are taken by hash of doc_id: a label's threshold is set from its number of rows, so that the sample is spread over
+    the table; the ``limit`` only trims what chance put above it. Null labels and ids don't count.
     """
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     own = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held)
@@ -244,8 +244,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, te
     most = {t: max(rows // 2, rows - n.get(1 - t, 0)) for t in (0, 1)}
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     share = F.when(F.col("toxic") == 1, F.lit(most[1] / max(n.get(1, 0), 1))).otherwise(F.lit(most[0] / max(n.get(0, 0), 1)))
-    picked = own.where(h < share)
-    return picked.join(docs.select("doc_id", whole_text(text).alias("text")), "doc_id").select("doc_id", "text", "toxic")
+    # At most rows (id, label) pairs: small enough to be sent to the texts, which then needn't be shuffled.
+    picked = F.broadcast(own.where(h < share).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    return docs.select("doc_id", whole_text(text).alias("text")).join(picked, "doc_id").select("doc_id", "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str = "text") -> Model:
