@@ -11,6 +11,8 @@ to the next ``LEVELS`` with those of other islands. No island ever holds more th
 
 from __future__ import annotations
 
+import base64
+import os
 import random
 import re
 import zlib
@@ -36,32 +38,16 @@ LEVELS = 3
 DEMES, PEOPLE, GENERATIONS, MIGRATIONS = 2, 2, 2, 2
 #: Sequences this empty or emptier are offered to the next level, at most this share of an island's sequences.
 LOOSE_SPACE, LOOSE_SHARE = 4, 0.05
-#: Pieces of text kept by a worker with their ids; beyond it the store starts anew.
-KEPT_PIECES = 300_000
-#: The byte-level pre-tokeniser's pattern for characters under U+0250, in terms of Python's own regular expressions.
-_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
-_SEPARATORS, _OTHER = "\x1c\x1d\x1e\x1f", re.compile("[ɐ-\U0010ffff]")
-
-
-class _Ids(dict):
-    """Piece of text -> its ids as little-endian unsigned 32-bit numbers."""
-
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        made = np.array(self.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= KEPT_PIECES:
-                self.clear()
-            self[piece] = made
-        return made
+#: Texts of characters under U+0250 without these have the same ids from either library.
+_SEPARATORS, _OTHER = "\x1c\x1d\x1e\x1f", re.compile("[\u0250-\U0010ffff]")
 
 
 class Encoder:
-    """Ids of texts as the library gives them, with the ids of pre-tokens kept."""
+    """Ids of texts as the library of the vocabulary file ``path`` gives them.
+
+    Where the same vocabulary lies beside it as ranks, texts go to the faster library for ranks, which gives the same ids;
+    texts with special tokens' strings or with characters of other scripts go to the vocabulary's own library.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -70,12 +56,25 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        self.known = _Ids(self.tokenizer.encode)
+        self.fast = _ranks_encoder(path.removesuffix(".json") + ".tiktoken")
 
     def __call__(self, text: str) -> bytes:
-        if (not text.isascii() and _OTHER.search(text)) or any(c in text for c in _SEPARATORS) or ("<" in text and self.special.search(text)):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, _PIECE.findall(text)))
+        if self.fast is None or (not text.isascii() and _OTHER.search(text)) or any(c in text for c in _SEPARATORS) or ("<" in text and self.special.search(text)):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast(text)
+        return np.array(ids, "<u4").tobytes()
+
+
+def _ranks_encoder(path: str):
+    if not os.path.exists(path):
+        return None
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 @lru_cache(maxsize=2)
