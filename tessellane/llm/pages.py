@@ -29,6 +29,8 @@ from tessellane.llm.urls import host_of, path_of
 
 #: Characters of HTML in a range on average, and the most ranges; the sample of keys from which ranges are cut.
 RANGE_CHARS, MOST_RANGES, SAMPLE = 16_000_000, 20_000, 200_000
+#: Characters of HTML that a task reads on average at most, as long as there are no more than MOST_RANGES tasks.
+TASK_CHARS = 64_000_000
 #: A pair that shares more than this part of a page's lines is taken for copies of one page.
 COPY_SHARE = 0.7
 
@@ -270,8 +272,10 @@ def main_text(pages: DataFrame, page: str = "html") -> DataFrame:
     key = F.struct("host", "path", F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("id"))
     keys = rows.select(key.alias("k"))
     size = rows.agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("chars")).first()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
-    n = int(min(MOST_RANGES, max(parts, (size["chars"] or 0) // RANGE_CHARS)))
+    total = size["chars"] or 0
+    parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1, min(MOST_RANGES, total // TASK_CHARS)))
+    # Several ranges a task even out what chance deals to the tasks.
+    n = int(min(MOST_RANGES, max(4 * parts, total // RANGE_CHARS)))
     # Ranges are cut from a bounded sample of keys (it only balances the work; results don't depend on it).
     share = min(1.0, SAMPLE / max(size["n"], 1) / 2)
     sample = keys.where((F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / float(1 << 30)) <= share).limit(SAMPLE).collect()

@@ -28,6 +28,8 @@ KEPT = 128
 LONGEST = 64
 #: Texts, in code points, that a range of neighbouring documents holds on average, and the most ranges there are.
 RANGE_CHARS, MOST_RANGES = 16_000_000, 100_000
+#: Texts, in code points, that a task reads on average at most, as long as there are no more than MOST_RANGES tasks.
+TASK_CHARS = 64_000_000
 _NONE = np.zeros(0, np.uint32)
 
 
@@ -160,9 +162,10 @@ def with_edits(docs: DataFrame, text: str = "text") -> DataFrame:
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     order = docs.select(F.col("doc_id"), whole_text(text).alias("text"))
     chars = docs.select("doc_id", F.length(whole_text(text)).alias("n"))
-    n = int(min(MOST_RANGES, max(1, (chars.agg(F.sum("n")).first()[0] or 0) // RANGE_CHARS)))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
-    n = max(n, min(parts, MOST_RANGES))
+    total = chars.agg(F.sum("n")).first()[0] or 0
+    parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1, min(MOST_RANGES, total // TASK_CHARS)))
+    # Several ranges a task even out what chance deals to the tasks.
+    n = int(min(MOST_RANGES, max(4 * parts, total // RANGE_CHARS)))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n)).alias("q")).first()["q"] if n > 1 else None
     bounds = np.array(sorted(set(cuts or [])), np.int64)
 
