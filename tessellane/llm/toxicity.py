@@ -29,7 +29,7 @@ from tessellane.llm.shared import small_batches, whole_text
 TRAIN_ROWS, TRAIN_CHARS = 6000, 40_000_000
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 16, 8, 6, (1, 2, 3)
 STEMS = (4, 5, 6)
-EPOCHS, RATE, BATCH = 5, 0.05, 16
+EPOCHS, RATE, BATCH = 12, 0.1, 16
 LANGUAGES = ("de", "es", "fr", "en")
 #: Words kept by a worker with their projections; beyond it the store starts anew.
 KEPT_WORDS = 150_000
@@ -101,7 +101,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         return model
     known: dict[str, int] = {}
     rows: list[list[int]] = []
-    ids = []
+    ids: list[tuple[np.ndarray, np.ndarray]] = []  # of each text: its distinct words, and which of them stands where
     for t in texts:
         own = words(t)
         own += _PAD[: max(0, max(WIDTHS) - len(own))]
@@ -111,7 +111,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
                 i = known[w] = len(rows)
                 rows.append(buckets(w))
             place.append(i)
-        ids.append(np.array(place, np.int32))
+        unique, inverse = np.unique(np.array(place, np.int32), return_inverse=True)
+        ids.append((unique, inverse.astype(np.int32)))
     of = np.array(rows, np.int64)
     del known, rows
     order = rng.permutation(len(texts))
@@ -128,7 +129,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
             flat = model.maps()
             chosen = fit[start : start + BATCH]
             for d in chosen:
-                unique, inverse = np.unique(ids[d], return_inverse=True)
+                unique, inverse = ids[d]
                 emb = model.table[of[unique]].sum(axis=1)
                 tops, at = _convolve((emb @ flat)[inverse], model.bias)
                 act = np.tanh(tops)
