@@ -60,33 +60,36 @@ def targets(by_source: DataFrame, share: float, most: int) -> DataFrame:
     return levels.select("source", "source_size", target.cast("double").alias("target"))
 
 
+def _named(source: Column) -> Column:
+    """The source without null, so that windows and joins ask for one and the same partitioning and texts are shuffled once."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
 def _keyed(docs: DataFrame, seed: str, *more: Column, text: str = "text") -> DataFrame:
-    """doc_id, source, size, key, range: what mixing needs of each document."""
-    sized = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col(text)).alias("size"), random_key(F.col("doc_id"), seed).alias("key"), *more)
+    """doc_id, source, named, size, key, range: what mixing needs of each document."""
+    sized = docs.select(F.col("doc_id"), F.col("source"), _named(F.col("source")).alias("named"), word_count(F.col(text)).alias("size"), random_key(F.col("doc_id"), seed).alias("key"), *more)
     return sized.withColumn("range", F.conv(F.substring("key", 1, RANGE_DIGITS), 16, 10).cast("int"))
 
 
 def _plan(sized: DataFrame, share: float, most: int) -> DataFrame:
-    """source, range, range_start, source_size, target: at most RANGES rows a source."""
-    ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    per_range = Window.partitionBy("source").orderBy("range")
+    """named, range, range_start, source_size, target: at most RANGES rows a source."""
+    ranges = sized.groupBy("named", "range").agg(F.min("source").alias("source"), F.sum("size").alias("range_size"))
+    per_range = Window.partitionBy("named").orderBy("range")
     goals = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), share, most)
     offsets = ranges.withColumn("range_start", F.sum("range_size").over(per_range) - F.col("range_size"))
-    made = offsets.alias("r").join(goals.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source")))
-    return store(made.select("r.source", "range", "range_start", "source_size", "target"), "ranges")
+    made = offsets.join(goals.select(_named(F.col("source")).alias("named"), "source_size", "target"), "named")
+    return store(made.select("named", "range", "range_start", "source_size", "target"), "ranges")
 
 
 def _taken(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """``sized`` with source_size, target, epochs (whole repeats that all documents of the source get) and last (words of one more)."""
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sized.withColumn("upto", F.sum("size").over(within)).alias("d").join(
-        plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.range") == F.col("p.range"))
-    )
+    within = Window.partitionBy("named", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = sized.withColumn("upto", F.sum("size").over(within)).join(plan, ["named", "range"])
     budget = F.floor(F.col("target"))
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("range_start") - F.col("upto") + F.col("size")))
-    return placed.select("d.*", "source_size", "target", epochs.cast("long").alias("epochs"), last.cast("long").alias("last"))
+    return placed.select(*sized.columns, "source_size", "target", epochs.cast("long").alias("epochs"), last.cast("long").alias("last"))
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: int = 2, seed: str = "mix", text: str = "text") -> DataFrame:
