@@ -2,8 +2,12 @@
 
 A text is cut into sentences, each sentence is normalised and mapped to the identifier of a known licence sentence or
 to nothing, and the document's identifier sequence is matched against ordered rules. All of that happens inside a row,
-so nothing is shuffled. ``SENTENCES`` and ``RULES`` are tables of this module (at most ``MOST_SENTENCES`` entries), so
+so nothing is shuffled. The sentences and rules are tables of this module (at most ``MOST_SENTENCES`` entries), so
 putting them into the plan has a fixed bound.
+
+A single line break inside a paragraph is white space where that makes a known sentence, and a sentence's end otherwise, so both
+line-wrapped licences and notices of a line each are found. The SQL twin knows ``SENTENCES`` and ``RULES`` only and ends a
+sentence at every line break: it is that of texts without line-wrapped or full licence sentences.
 """
 
 from __future__ import annotations
@@ -58,42 +62,76 @@ RULES = (
     ("cc-by-4.0.deed", "CC-BY-4.0", ("cc5",)),
     ("all-rights-reserved", "proprietary", ("ar1",)),
 )
-#: What ends a sentence: a full stop, exclamation or question mark before white space, or a line's end.
-_END = r"[.!?]+[ \t]+|[.!?]*[\r\n]+"
+#: The sentences of the licence texts themselves; an identifier of ``SENTENCES`` here is a second form of the same sentence.
+FULL = (
+    ("ap5", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("gt1", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gt2", "the precise terms and conditions for copying distribution and modification follow"),
+    ("mi2", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mi4", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("bs4", "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+)
+#: Further sequences of rules (of ``RULES``, where the name is the same): those of the full texts.
+FULL_RULES = (
+    ("apache-2.0.notice", "Apache-2.0", ("ap5",)),
+    ("apache-2.0.header", "Apache-2.0", ("ap5", "ap3", "ap4")),
+    ("gpl-3.0.text", "GPL-3.0", ("gt1", "gt2")),
+    ("gpl-3.0.text", "GPL-3.0", ("gt1", "gt2", "gp3", "gp4", "gp5")),
+    ("bsd-2-clause.text", "BSD-2-Clause", ("ar1", "bs1", "bs2", "bs3")),
+    ("bsd-3-clause.text", "BSD-3-Clause", ("ar1", "bs1", "bs2", "bs3", "bs4")),
+)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: A-Z lower-cased, each run of other characters than a-z and 0-9 one space, trimmed."""
-    return F.transform(F.split(F.translate(text, _UPPER, _LOWER), _END), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+def marked(text: Column) -> Column:
+    """The text's words (A-Z lower-cased, each run of other characters than a-z and 0-9 one space) with marks between them.
+
+    S is a sentence's end: a full stop, exclamation or question mark before white space, a line without words, a numbered
+    list item's start. L is another line break. The text stands between two S.
+    """
+    out = F.translate(text, _UPPER, _LOWER)
+    out = F.regexp_replace(out, r"[.!?](?=[ \t\r\n])", "S")
+    out = F.regexp_replace(out, r"(?:\r\n?|\n)[ \t]*\(?(?:[0-9]{1,3}|[a-z])\)(?=[ \t])", "S")
+    out = F.regexp_replace(out, r"\r\n?|\n", "L")
+    out = F.regexp_replace(F.regexp_replace(out, "[^a-z0-9SL]+", " "), " ?([SL]) ?", "$1")
+    return F.regexp_replace(F.concat(F.lit("S"), F.trim(out), F.lit("S")), "[SL]{2,}", "S")
+
+
+def known_sentences(text: Column, known) -> Column:
+    """The known sentences (normalised) in text order: from mark to mark, over single line breaks, the longest where several fit."""
+    forms = sorted((sentence for _, sentence in known), key=lambda s: (-len(s), s))
+    pattern = f"[SL](?:{'|'.join(s.replace(' ', '[ L]') for s in forms)})(?=[SL])"
+    found = F.regexp_extract_all(marked(text), F.lit(pattern), F.lit(0))
+    return F.transform(found, lambda s: F.translate(F.substring(s, 2, 1_000_000), "L", " "))
 
 
 def _covers(longer: tuple[str, ...], shorter: tuple[str, ...]) -> bool:
     return len(longer) > len(shorter) and f",{','.join(shorter)}," in f",{','.join(longer)},"
 
 
-def scan(docs: DataFrame, known=SENTENCES, rules=RULES, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known=SENTENCES + FULL, rules=RULES + FULL_RULES, text: str = "text") -> DataFrame:
     """One row a document: doc_id, n_sentences (known ones), sentence_ids (in text order), rules, licenses.
 
     The last three are comma-joined. A rule matches if its sentences follow each other in the sequence of known
     sentences (unknown ones between them don't matter); a rule that is part of a longer rule that matched isn't
-    reported. Licences are distinct and in code-point order. Null and empty texts have no sentence and empty strings;
+    reported. Rules of one name are sequences of one rule. Licences are distinct and in code-point order. Null and empty texts have no sentence and empty strings;
     repeated rows stay; texts are scanned whole; other columns aren't read.
     """
     if len(known) > MOST_SENTENCES or len(rules) > MOST_SENTENCES:
         raise ValueError(f"at most {MOST_SENTENCES} sentences and rules")
     table = F.create_map(*[F.lit(x) for name, sentence in known for x in (sentence, name)])
-    ids = F.filter(F.transform(sentences(whole_text(text)), lambda s: F.try_element_at(table, s)), lambda i: i.isNotNull())
+    ids = F.filter(F.transform(known_sentences(whole_text(text), known), lambda s: F.try_element_at(table, s)), lambda i: i.isNotNull())
     found = docs.select("doc_id", ids.alias("ids")).withColumn("row", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
-    holds = {name: F.contains(F.col("row"), F.lit(f",{','.join(seq)},")) for name, _, seq in rules}
-    named, licences = [], []
+    holds = {seq: F.contains(F.col("row"), F.lit(f",{','.join(seq)},")) for _, _, seq in rules}
+    hits: dict[tuple[str, str], Column] = {}
     for name, licence, seq in rules:
-        hit = holds[name]
-        for other, _, longer in rules:
+        hit = holds[seq]
+        for longer in holds:
             if _covers(longer, seq):
-                hit = hit & ~holds[other]
-        named.append(F.when(hit, F.lit(name)))
-        licences.append(F.when(hit, F.lit(licence)))
+                hit = hit & ~holds[longer]
+        hits[name, licence] = hits[name, licence] | hit if (name, licence) in hits else hit
+    named = [F.when(hit, F.lit(name)) for (name, _), hit in hits.items()]
+    licences = [F.when(hit, F.lit(licence)) for (_, licence), hit in hits.items()]
     kept = lambda cols: F.array_compact(F.array(*cols))
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"),

@@ -100,3 +100,82 @@ def test_licences(spark):
     assert (5, 0, "", "", "") in got and (7, 0, "", "", "") in got
     assert got == sorted(map(tuple, twin(licenses.oracle(), documents=docs).fetchall()), key=str)
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+MIT = """Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """   Copyright 2020 Some One
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+BSD = """Copyright (c) 2020, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+"""
+
+
+def test_wrapped_licence_texts(spark):
+    unwrap = lambda t: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n"))
+    comment = "/*\n" + "".join(f" * {line}\n" for line in APACHE.splitlines()) + " */\nint main() {}"
+    made = [
+        (1, MIT), (2, APACHE), (3, GPL), (4, BSD), (5, MIT.replace("\n", "\r\n")), (6, comment), (7, BSD.replace("1. ", "(1) ").replace("2. ", "(2) ")),
+        (8, unwrap(MIT)), (9, unwrap(APACHE)), (10, "Released under\n\nthe MIT License."), (11, "Released under\nthe MIT License.\nMore"), (12, "Not released under the MIT License."),
+    ]
+    got = {r.doc_id: (r.sentence_ids, r.rules, r.licenses) for r in licenses.scan(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    mit, apache, bsd = ("mi2,mi3,mi4", "mit.text", "MIT"), ("ap5,ap3,ap4", "apache-2.0.header", "Apache-2.0"), ("ar1,bs1,bs2,bs3", "bsd-2-clause.text", "BSD-2-Clause")
+    assert got[1] == got[5] == mit and got[2] == got[6] == apache and got[4] == got[7] == bsd
+    assert got[3] == ("gp3,gp4,gp5", "gpl-3.0.header", "GPL-3.0-or-later")
+    assert got[8] == mit and got[9] == apache
+    assert got[10] == got[12] == ("", "", "") and got[11] == ("mi1", "mit.notice", "MIT")
