@@ -3,15 +3,18 @@
 The vocabulary's pre-tokeniser drops white space and never joins what stands on both sides of it, so the count of a
 prefix is the count of its whole words plus that of its last, perhaps cut, word. ``PrefixCounter`` adds up the words'
 counts into an array with the exact count at every prefix that ends at a word, and has a second, per-word array with the
-exact count at every prefix inside a word; both are kept per distinct word, so a text is never encoded twice and a
-question about truncation or a budget is a look-up. Texts for which the words' rule doesn't hold (a special token's
+exact count at every prefix inside a word. That one is made when a word is first cut: the tokens of a prefix are a shorter
+prefix's and a last token that may follow them, so one pass over the word has them all. Words' counts, and the arrays of
+words that were cut, are kept per distinct word. Texts for which the words' rule doesn't hold (a special token's
 string, or the control characters U+001C to U+001F, which Python calls white space and the tokeniser doesn't) go to the
 library as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +31,8 @@ LIMIT = 2048
 KEPT_WORDS = 300_000
 #: Words longer than this are counted but not kept.
 KEPT_LENGTH = 64
+#: Arrays of cut words kept by a worker.
+KEPT_ARRAYS = 20_000
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
@@ -53,6 +58,81 @@ class _Words(dict):
         return n
 
 
+class _Merges:
+    """Token counts of all prefixes of a piece (in the tokeniser's byte characters), by dynamic programming.
+
+    A sequence of tokens is a string's encoding exactly if each two neighbours are the encoding of what they spell. So a
+    prefix's encoding is that of a shorter prefix and the one last token that may follow it. The vocabulary marks the end of a
+    piece on its last token: each prefix has a last token inside a piece and one at a piece's end.
+    """
+
+    def __init__(self, model: dict) -> None:
+        self.suffix = model["end_of_word_suffix"]
+        self.vocab = model["vocab"]
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.rank = {(self.vocab[a], self.vocab[b]): self.vocab[a + b] for a, b in pairs}
+        self.parts = {c: ab for ab, c in self.rank.items()}
+        made = list(self.rank.values())
+        # Ids have to follow the order of merges and each token to have one merge.
+        self.sound = made == sorted(set(made)) and len(made) == len(self.vocab) - made[0] and len(self.rank) == len(pairs)
+        self.longest = max(len(t.removesuffix(self.suffix)) for t in self.vocab)
+        self.known: dict[tuple[int, int], bool] = {}
+
+    def may_follow(self, a: int, b: int) -> bool:
+        found = self.known.get((a, b))
+        if found is None:
+            if len(self.known) >= KEPT_WORDS:
+                self.known.clear()
+            found = self.known[a, b] = self._may_follow(a, b)
+        return found
+
+    def _may_follow(self, a: int, b: int) -> bool:
+        limit = 1 << 60
+        while True:
+            if self.rank.get((a, b), limit) < limit:
+                return False
+            if a > b:
+                limit = a
+                if a in self.parts:
+                    a = self.parts[a][1]
+                    continue
+                limit = b + 1
+                if b not in self.parts:
+                    return True
+                b = self.parts[b][0]
+            else:
+                limit = b + 1
+                if b in self.parts:
+                    b = self.parts[b][0]
+                    continue
+                limit = a
+                if a not in self.parts:
+                    return True
+                a = self.parts[a][1]
+
+    def counts(self, piece: str, ends: list[int]) -> list[int]:
+        """Tokens of ``piece[:e]`` for the ascending ``ends``, each taken as a whole piece."""
+        vocab, suffix, most = self.vocab, self.suffix, self.longest
+        last, n = [-1], [0]
+
+        def step(i: int, mark: str) -> tuple[int, int]:
+            for j in range(max(0, i - most), i):
+                token = vocab.get(piece[j:i] + mark)
+                if token is not None and last[j] != -2 and (j == 0 or self.may_follow(last[j], token)):
+                    return token, n[j] + 1
+            return -2, 0
+
+        out, at = [], 0
+        for e in ends:
+            while at < e - 1:
+                at += 1
+                token, k = step(at, "")
+                last.append(token)
+                n.append(k)
+            out.append(step(e, suffix)[1] if e else 0)
+        return out
+
+
 class PrefixCounter:
     """Exact token counts of all prefixes of texts."""
 
@@ -64,6 +144,9 @@ class PrefixCounter:
         self.tokenizer.no_padding()
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.words = _Words(self.tokenizer.encode)
+        self.arrays: dict[str, np.ndarray] = {}
+        with open(path, encoding="utf-8") as f:
+            self.merges = _Merges(json.load(f)["model"])
 
     def _whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -82,16 +165,63 @@ class PrefixCounter:
         spans = list(re.finditer(r"\S+", text))
         return np.array([0, *(m.end() for m in spans)]), np.cumsum([0, *(self.words[m[0]] for m in spans)])
 
+    def inside(self, word: str) -> np.ndarray:
+        """Exact token counts of ``word[:k]`` for every k of 0 to the word's length."""
+        found = self.arrays.get(word)
+        if found is None:
+            found = self._inside(word)
+            if len(word) <= KEPT_LENGTH:
+                if len(self.arrays) >= KEPT_ARRAYS:
+                    self.arrays.clear()
+                self.arrays[word] = found
+            else:  # of the long words, the latest one
+                self.arrays = {w: a for w, a in self.arrays.items() if len(w) <= KEPT_LENGTH} | {word: found}
+        return found
+
+    def _inside(self, word: str) -> np.ndarray:
+        normal = self.tokenizer.normalizer.normalize_str
+        lower = {c: normal(c) for c in set(word)}
+        text = "".join(map(lower.__getitem__, word))
+        if not self.merges.sound or not unicodedata.is_normalized("NFC", word) or normal(word) != text:
+            # A cut changes how the characters before it compose: each prefix is encoded.
+            return np.array([self._whole(word[:k]) for k in range(len(word) + 1)])
+        at = np.cumsum([0, *(len(lower[c]) for c in word)])
+        # Code points of the normalised word -> tokens of the prefix up to there.
+        counts, before = np.zeros(len(text) + 1, np.int64), 0
+        for piece, (start, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
+            own = text[start:end]
+            if own[0] == "'" and len(own) > 1 and own[1].isalpha():  # 's, 're, ...: a cut one is other pieces
+                found = [len(self.tokenizer.encode(own[:k], add_special_tokens=False).ids) for k in range(1, len(own) + 1)]
+            else:
+                found = self.merges.counts(piece, np.cumsum([len(c.encode()) for c in own]).tolist())
+            counts[start + 1 : end + 1] = before + np.array(found)
+            before = int(counts[end])
+        return counts[at]
+
     def count_at(self, text: str, chars: int, table: tuple[np.ndarray, np.ndarray] | None = None) -> int:
-        """Tokens of ``text[:chars]``, from the table and at most one cut word."""
+        """Tokens of ``text[:chars]``, from the table and, inside a word, that word's array."""
         ends, counts = table or self.table(text)
-        at = int(np.searchsorted(ends, min(chars, len(text)), "right")) - 1
-        return int(counts[at]) + sum(map(self.words.__getitem__, text[ends[at] : chars].split())) if self._plain(text) else int(counts[at])
+        chars = min(chars, len(text))
+        at = int(np.searchsorted(ends, chars, "right")) - 1
+        if not self._plain(text) or ends[at] == chars or at + 1 == len(ends):
+            return int(counts[at])
+        word = text[ends[at] : ends[at + 1]]
+        gap = len(word) - len(word.lstrip())
+        return int(counts[at]) + int(self.inside(word[gap:])[max(0, chars - int(ends[at]) - gap)])
 
     def fit(self, text: str, budget: int, table: tuple[np.ndarray, np.ndarray] | None = None) -> int:
-        """Code points of the longest prefix, ending at a word, of at most ``budget`` tokens."""
+        """Code points of the longest prefix of at most ``budget`` tokens; it may end inside a word or with white space."""
         ends, counts = table or self.table(text)
-        return int(ends[int(np.searchsorted(counts, budget, "right")) - 1]) if len(text) else 0
+        if not self._plain(text):
+            return int(np.flatnonzero(counts <= budget)[-1])
+        at = int(np.searchsorted(counts, budget, "right")) - 1
+        if at + 1 == len(ends):
+            return len(text)
+        word = text[ends[at] : ends[at + 1]]
+        gap = len(word) - len(word.lstrip())
+        # A token has at most ``longest`` bytes, and four code points or fewer compose to one: no longer prefix can fit.
+        word = word[: gap + 4 * self.merges.longest * (budget + 1)]
+        return int(ends[at]) + gap + int(np.flatnonzero(self.inside(word[gap:]) <= budget - counts[at])[-1])
 
 
 @lru_cache(maxsize=2)
@@ -103,7 +233,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "te
     """doc_id, n_bytes, n_tokens, over_limit, fit_chars: one row a document.
 
     ``n_tokens`` counts the whole text without added special tokens; ``fit_chars`` is the length, in code points, of the
-    longest prefix ending at a word that has at most ``limit`` tokens (the whole text if it fits). Null text is empty:
+    longest prefix that has at most ``limit`` tokens, inside a word too (the whole text if it fits). Null text is empty:
     0 bytes, 0 tokens. Repeated rows stay, an empty table gives an empty table, other columns aren't read. One pass over
     the texts, no shuffle; a worker holds one batch and a bounded store of words.
     """

@@ -107,3 +107,34 @@ def test_pack_documents(spark, monkeypatch):
     few = spark.createDataFrame([(1, "a b"), (2, "c " * 1500)], "doc_id long, text string")
     seqs = packing.sequences(packing.pack_documents(few), few).collect()
     assert sorted(len(s.ids) for s in seqs)[-1] == 1024 and sum(len(s.ids) for s in seqs) == sum(len(own(t)) // 4 + 1 for t in ("a b", "c " * 1500))
+
+
+LONG = [
+    "漢字かな" * 300, "https://example.org/a/b?c=d&e=" + "QmFzZTY0" * 60, "it're'l!!'s 'vex''ll" * 9, "İSTANBULǅéÉ" * 40, "éx̧가각" * 20, "한국어" * 90, "a" * 500, "👍🏽" * 60,
+    "function(){return!0};" * 40, "  lead " + "z9" * 90 + "  end  ",
+]
+
+
+@pytest.mark.parametrize("text", TEXTS + LONG)
+def test_fit_is_the_longest_prefix(words, text):
+    want = [len(words.tokenizer.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+    table = words.table(text)
+    assert [words.count_at(text, k, table) for k in range(len(text) + 1)] == want
+    for budget in (0, 1, 2, 3, 7, 20, 33, 100, 250):
+        assert words.fit(text, budget, table) == max(k for k, n in enumerate(want) if n <= budget)
+
+
+def test_fit_of_random_words(words):
+    rng = random.Random(8)
+    for _ in range(150):
+        text = "".join(rng.choice(["the", "ing", "'re", "'", "l", "é", "Ö", "1", "..", "=", "漢", "ß", "tion", "x", "q", " "]) for _ in range(rng.randrange(1, 40)))
+        want = [len(words.tokenizer.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+        assert [words.count_at(text, k) for k in range(len(text) + 1)] == want, text
+        assert words.fit(text, 9) == max(k for k, n in enumerate(want) if n <= 9)
+
+
+def test_words_without_white_space(spark, words):
+    made = spark.createDataFrame([(1, "漢字かな" * 2000), (2, "x " * 2047 + "w" + "QmFzZTY0" * 4000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in tokens.count_tokens(made, tokens.tokenizer_path()).collect()}
+    assert got[1].over_limit and 0 < got[1].fit_chars < 8000 and got[2].fit_chars >= 2 * 2047
+    assert words.count(("漢字かな" * 2000)[: got[1].fit_chars]) <= 2048 < words.count(("漢字かな" * 2000)[: got[1].fit_chars + 1])
