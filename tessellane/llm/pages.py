@@ -52,12 +52,14 @@ _WORDS_OUT = {
     "subscribe", "subscription", "signup", "login", "popup", "modal", "overlay", "widget", "pagination", "pager", "search", "toolbar", "topbar", "masthead", "copyright", "skip", "form",
 }
 _ROLES_OUT = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: Attributes one after the other, so that words inside a value are no names.
+_NAMED = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: Attributes longer than this are looked at anew each time, which bounds the cache's memory.
+_CACHED = 500
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
-@lru_cache(maxsize=4096)
-def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
+def _names_itself(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether an element names itself as something other than the page's main text."""
     if tag in _OUT:
         return True
@@ -76,6 +78,13 @@ def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+_cached = lru_cache(maxsize=4096)(_names_itself)
+
+
+def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
+    return (_cached if len(attributes) <= _CACHED else _names_itself)(tag, attributes, in_article)
+
+
 def blocks(page: str) -> tuple[list[str], bool]:
     """Blocks of text in page order and whether the page marks its main text (they are from there then)."""
     found: list[tuple[str, int]] = []  # text, 2 in an article, 1 in main
@@ -149,7 +158,7 @@ def blocks(page: str) -> tuple[list[str], bool]:
         if attributes.endswith("/") and tag not in _BLOCK:
             continue
         stack.append((tag, out, level))
-        if not out and _left_out(tag, attributes[:500], level > 0):
+        if not out and _left_out(tag, attributes, level > 0):
             flush()
             out = True
         if tag == "article":

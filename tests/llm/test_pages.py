@@ -96,3 +96,14 @@ def test_ranges_dont_matter(spark):
                 shared = pages.shared_lines(mine, other)
                 mine = [x for j, x in enumerate(mine) if j not in shared]
         assert next(r[2] for r in out[0] if r[0] == i) == "\n\n".join(mine)
+
+
+@pytest.mark.parametrize(
+    ("attributes", "want"),
+    [
+        ("class='ad'", ""), ("HIDDEN", ""), ("id=menu", ""), ("class='story' data-x='y'", "x"), ("title='the hidden class=ad'", "x"),
+        (f"style='{'margin:0;' * 100}' class='ad box'", ""), (f'data-x=\'{{"k": "{"v " * 400}"}}\' role="navigation"', ""), (f"onclick='f(\"{'hidden ' * 90}\")'", "x"), (f"src='data:{'QUJD' * 300}' hidden", ""),
+    ],
+)
+def test_all_attributes_count(attributes, want):
+    assert text(f"<article><div {attributes}>x</div></article>") == want
