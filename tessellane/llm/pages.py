@@ -4,8 +4,9 @@ A page becomes blocks of text. Elements that name what they are (navigation, foo
 out, and where a page marks its article (``article``, else ``main``) only that is kept. Where it marks none, lines that the site
 repeats are found by differencing: pages are put in order of URL path within each host, each is paired with the nearer of
 its two neighbours (longer common path, then the earlier one), the lines of both are aligned by longest common
-subsequence, and the shared ones are deleted. A pair that shares nearly all lines is one page under two URLs and
-nothing is deleted.
+subsequence, and the shared ones are deleted. If what is left over in both pages is nearly nothing, they are one page under
+two URLs and nothing is deleted. If the pair shares most lines and most of their text, they are edited copies of one page, and the
+other neighbour is taken instead; if that is a copy too, nothing is deleted.
 
 Pages are dealt over ranges of (host, path), so a host with a third of all pages is many ranges. Each range also gets the last
 page before it and the first one after it, so pairs don't depend on how pages were dealt.
@@ -31,8 +32,10 @@ from tessellane.llm.urls import host_of, path_of
 RANGE_CHARS, MOST_RANGES, SAMPLE = 16_000_000, 20_000, 200_000
 #: Characters of HTML that a task reads on average at most, as long as there are no more than MOST_RANGES tasks.
 TASK_CHARS = 64_000_000
-#: A pair that shares more than this part of a page's lines is taken for copies of one page.
+#: A pair is taken for copies of one page only if it shares more than this part of a page's lines, and moreover either more than
+#: this part of both pages' code points or all but ``COPY_REST`` code points (a date, a counter) of each.
 COPY_SHARE = 0.7
+COPY_REST = 40
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\"'<]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>\"'<]*)([^>]*)(?:>|\Z)", re.S
@@ -219,12 +222,20 @@ class _Page:
         lines = self.lines
         near = [p for p in (before, after) if p is not None and p.host == self.host]
         if near and not self.marked and self.host:
-            partner = max(near, key=lambda p: _common(self.path, p.path))
-            if not partner.marked or len(partner.lines):
+            for partner in sorted(near, key=lambda p: -_common(self.path, p.path)):
+                if partner.marked and not partner.lines:
+                    break
                 shared = shared_lines(lines, partner.lines)
-                if len(shared) <= COPY_SHARE * len(lines):
-                    gone = set(shared)
-                    lines = [x for i, x in enumerate(lines) if i not in gone]
+                both = sum(len(lines[i]) for i in shared)
+                sizes = [sum(map(len, p.lines)) for p in (self, partner)]
+                if len(shared) > COPY_SHARE * len(lines):
+                    if max(sizes) - both <= COPY_REST:
+                        break
+                    if both > COPY_SHARE * max(sizes):
+                        continue
+                gone = set(shared)
+                lines = [x for i, x in enumerate(lines) if i not in gone]
+                break
         return "\n\n".join(lines)
 
 

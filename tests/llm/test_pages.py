@@ -107,3 +107,15 @@ def test_ranges_dont_matter(spark):
 )
 def test_all_attributes_count(attributes, want):
     assert text(f"<article><div {attributes}>x</div></article>") == want
+
+
+def test_heavy_boilerplate_is_no_copy(spark):
+    menu = [f"Menu item {k}" for k in range(25)]
+    own = lambda k: [f"Paragraph {j} of article {k}, which says something of its own about subject {j * k}, in {k} words or so." for j in range(8)]
+    story = [f"Paragraph {j} of the mirrored story, which stands on both pages, word by word, as long as any." for j in range(30)]
+    made = [(k, f"http://heavy.org/n/{k}", div(*menu, *own(k))) for k in (1, 2, 3)]
+    made += [(4, "http://edit.org/s/1", div("Top line", *story, *own(4)[:1])), (5, "http://edit.org/s/1b", div("Top line", *story, *own(5)[:1])), (6, "http://edit.org/s/9", div("Top line", *own(6)))]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "\n\n".join(own(k)) for k in (1, 2, 3))
+    assert got[4] == "\n\n".join(["Top line", *story, *own(4)[:1]])  # its only neighbour is an edited copy
+    assert got[5] == "\n\n".join([*story, *own(5)[:1]]) and got[6] == "\n\n".join(own(6))
