@@ -17,9 +17,23 @@ def largest_remainder(counts: DataFrame, group: str, count: str = "n", total: in
     return ranked.withColumn("percent", (F.floor("share") + (F.col("place") <= F.col("short")).cast("int")).cast("long")).drop("share", "short", "place")
 
 
-def tier(cost: Column, benefit: Column) -> Column:
-    """A tier from a weighted cost and a benefit."""
-    return F.when(benefit >= 2 * cost, "A").when(benefit >= cost, "B").otherwise("C")
+# What the cost tags weigh.
+MONEY, TIME, WILL = {"0": 0, "少": 1, "多": 2}, {"少": 0, "中": 1, "多": 2}, {"否": 0, "些": 1, "是": 2}
+
+
+def _weight(tag: Column, weights: dict[str, int]) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[tag], F.lit(0))
+
+
+def tier(money: Column, time: Column, will: Column, benefit: Column) -> Column:
+    """The tier of an entry: what it costs (unknown tags weigh 0) against its benefit; null where it has no benefit tag.
+
+    A great benefit (大) at no cost is 极高, at a cost of 1 or 2 高; a middling one (中) at no cost is 高; all else is 一般.
+    """
+    cost = _weight(money, MONEY) + _weight(time, TIME) + _weight(will, WILL)
+    great, middling = benefit == "大", benefit == "中"
+    named = F.when(great & (cost == 0), "极高").when((great & (cost <= 2)) | (middling & (cost == 0)), "高").otherwise("一般")
+    return F.when(benefit.isNotNull(), named)
 
 
 def resolved(references: DataFrame, entries: DataFrame) -> DataFrame:

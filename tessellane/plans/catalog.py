@@ -450,9 +450,13 @@ def largest_remainder(spark, sf_dir):
     return stats.largest_remainder(read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")), "lang")
 
 
-@query("SELECT CASE WHEN l_extendedprice >= 2 * (l_quantity * 1000) THEN 'A' WHEN l_extendedprice >= l_quantity * 1000 THEN 'B' ELSE 'C' END AS tier, count(*) AS n FROM lineitem GROUP BY 1")
+@query("""WITH t AS (SELECT ['0', '少', '多'][l_linenumber % 3 + 1] AS money, ['少', '中', '多'][CAST(l_quantity AS BIGINT) % 3 + 1] AS time, ['否', '些', '是'][l_suppkey % 3 + 1] AS will, ['大', '中', '小'][l_partkey % 3 + 1] AS benefit FROM lineitem),
+c AS (SELECT benefit, list_position(['0', '少', '多'], money) + list_position(['少', '中', '多'], time) + list_position(['否', '些', '是'], will) - 3 AS cost FROM t)
+SELECT CASE WHEN benefit = '大' THEN CASE WHEN cost = 0 THEN '极高' WHEN cost <= 2 THEN '高' ELSE '一般' END WHEN benefit = '中' AND cost = 0 THEN '高' ELSE '一般' END AS tier, count(*) AS n FROM c GROUP BY 1""")
 def tier_counts(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").groupBy(stats.tier(F.col("l_quantity") * 1000, F.col("l_extendedprice")).alias("tier")).agg(F.count("*").alias("n"))
+    tag = lambda values, i: F.get(F.array(*map(F.lit, values)), (i % 3).cast("int"))
+    tags = (tag(stats.MONEY, F.col("l_linenumber")), tag(stats.TIME, F.col("l_quantity").cast("long")), tag(stats.WILL, F.col("l_suppkey")), tag("大中小", F.col("l_partkey")))
+    return read(spark, sf_dir, "lineitem").groupBy(stats.tier(*tags).alias("tier")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH m AS (SELECT n_nationkey AS source, n_name FROM nation),

@@ -97,15 +97,29 @@ def test_decoders():
     with pytest.raises(ValueError):
         files.decode(b"\x81", "lab")
     assert files.docx_text(docx(" a ", "", "b")) == "a\nb"
-    assert files.pdf_text(PDF) == "Hello Wor ld meta" and files.pdf_text(PDF, False) == "HelloWorld"
-    assert files.html_nodes("<p>a</p><script>s()</script><p> b</p>") == "a\ns()\nb"
-    assert files.html_nodes("<p>a</p><script>s()</script><p> b</p>", True) == "a\nb"
+    assert files.pdf_text(PDF) == "Hello Wor ld meta" and files.pdf_text(PDF, "easy") == "HelloWorld"
+    assert files.html_nodes("<p>a</p><script>s()</script><p> b</p> ") == "a\ns()\n b"
+    assert files.html_nodes("<p>a</p><script>s()</script><p> b</p>", True) == "a\n b"
     with pytest.raises(ValueError):
         files.read_file("x.bin", b"", "pro")
     assert files.read_file("x.bin", b"", "kit") is None
     assert files.read_file("x.csv", b"a , b\nc,d\n", "easy") == "a | b\nc | d"
 
 
+def pdf(*streams):
+    return b"%PDF-1.4\n" + b"\n".join(b"1 0 obj\nstream\r\n" + d + b"\r\nendstream\nendobj" for d in streams)
+
+
+def test_pdf_strings():
+    made = pdf(zlib.compress("[(a\\)b) 3 (é)] TJ (c\\\\d) Tj (e(f)g) Tj [1 2] 0 d (x\\ty)Tj".encode()), b"(raw) Tj", zlib.compress(b"(next) Tj"))
+    assert files.pdf_text(made) == "a)b é c\\d f x\\ty next"
+    assert files.pdf_text(made, "easy") == "c\\dx\tya)bÃ©next"
+    assert files.pdf_text(pdf(b"not deflated")) == "" and files.pdf_text(b"") == ""
+    with pytest.raises(ValueError):
+        files.pdf_text(made, "lab")  # pypdf isn't there
+    assert files.docx_text(docx(" a &amp; b", "c"), profile="easy") == " a & bc"
+
+
 def test_folders_and_tables(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name, content in {"b.md": b"# T\n| n | c |\n|---|---|\n| x | 1 |\n", "sub/a.txt": b"text", "blank.txt": b"  ", "d.docx": docx("para"), ".hid.txt": b"h", "x.bin": b"z", "bad.docx": b"no"}.items():
@@ -116,12 +130,17 @@ def test_folders_and_tables(spark, tmp_path):
     lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(["# Land", "| n | c |", "|---|:-:|", "| x | 1 |", "text", "## City", "| h |", "|--|", "| y |"])], "path string, line int, text string")
     rows = sorted((r.line, r.heading, r.cells) for r in files.markdown_tables(lines).collect())
     assert rows == [(3, "Land", ["x", "1"]), (8, "City", ["y"])]
-    notes = spark.createDataFrame([("f", i, t) for i, t in enumerate(["### One", "- grade：A", "see [x](y) [z](w)", "### Two", "- grade: B"])], "path string, line int, text string")
-    assert sorted((r.title, r.grade, r.links) for r in files.entries(notes).collect()) == [("One", "A", 2), ("Two", "B", 0)]
+    page = ["### One", "- 证据等级：A", "- 来源：https://a http://b", "see https://c", "- 备注：争议 https://d", "<!-- 成本标签: 钱=0 时间=少 毅力=否 收益=大 口径=x -->", "### One", "- 证据等级：D", "TODO"]
+    notes = files.entries(spark.createDataFrame([("f", i, t) for i, t in enumerate(["before", *page])], "path string, line int, text string"))
+    got = sorted((r.line, r.title, r.grade, r.disputed, r.todo, r.links, r.benefit) for r in notes.collect())
+    assert got == [(1, "One", "A", 1, 0, 3, "大"), (7, "One", None, 0, 1, 0, None)]
+    assert tuple(files.entry_counts(notes).first()) == (2, 1, 0, 0, 1, 1, 3, 1, 0, 0)
     (tmp_path / "cases.json").write_text('[{"q": "a", "kw": "b"}]')
     assert files.read_cases(spark, str(tmp_path / "cases.json")).first().kw == "b"
     up = spark.createDataFrame([(base64.b64encode(b"hi").decode(),)], "x string")
     assert bytes(up.select(files.uploaded(F.col("x")).alias("b")).first().b) == b"hi"
+    with pytest.raises(Exception, match="too large"):
+        up.select(files.uploaded(F.col("x"), 1).alias("b")).first()
 
 
 def test_sinks(spark, tmp_path):
