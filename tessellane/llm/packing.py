@@ -1,12 +1,16 @@
 """Best-fit packing by a grouping genetic algorithm, distributed as islands with elite migration.
 
 Documents become token ids; those longer than a sequence are cut into full pieces, the first piece taking the remainder.
-Pieces are dealt at random to islands of about ``ISLAND`` pieces. Each island evolves a small population whose genes are
-whole sequences: crossover injects well-filled sequences of one parent into the other, sequences of the other parent
-that hold one of their pieces again are dissolved, and the pieces displaced by that are placed by best fit, largest
-first. An island consists of demes that evolve on their own and pass their elite on in a ring. Between islands
-migration is by sequences: an island's well-filled sequences are final, the pieces of its worst-filled ones move on
-to the next ``LEVELS`` with those of other islands. No island ever holds more than about ``ISLAND`` pieces.
+Full pieces are sequences by themselves. The others are dealt at random to islands of about ``ISLAND`` pieces. Each island evolves
+a small population whose genes are whole sequences: crossover injects full sequences of one parent into the other, sequences
+that hold one of their pieces again are dissolved (and so are some that aren't full, and some of many small pieces), and the
+displaced pieces are put together by best fit: the largest opens a sequence and draws the others that fill it best. The
+fittest have the fewest sequences, then the least even fill: what space there is should be in few sequences.
+
+Migration between islands is by whole sequences, in stored rounds. An island's full sequences of few pieces are final; all
+others, also the full ones of many small pieces, which are what makes others full, move on to the fewer islands of the
+next round. They stay whole on the way and are one individual of the population that they meet there. No island ever
+holds more than about ``ISLAND`` pieces, and the last round is one island unless there are more than ``ROUNDS`` rounds.
 """
 
 from __future__ import annotations
@@ -16,7 +20,6 @@ import os
 import random
 import re
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,12 +35,12 @@ from tessellane.llm.tokens import tokenizer_path
 MODEL = "byte_bpe_50k.json"
 END_ID = 2
 CAPACITY = 1024
-ISLAND = 2048
-LEVELS = 3
-#: Demes of an island, individuals of a deme, generations between migrations, migrations.
-DEMES, PEOPLE, GENERATIONS, MIGRATIONS = 2, 2, 2, 2
-#: Sequences this empty or emptier are offered to the next level, at most this share of an island's sequences.
-LOOSE_SPACE, LOOSE_SHARE = 4, 0.05
+ISLAND = 4096
+ROUNDS = 6
+#: Individuals of an island, its generations, sequences injected by a crossover, those dissolved that aren't full and that hold many pieces.
+PEOPLE, GENERATIONS, INJECTED, DISSOLVED, MIXED = 3, 100, 2, 10, 3
+#: Full sequences of at most so many pieces are final; where they are fewer than this share, all are but the emptiest ones, this many.
+FEW_PIECES, SETTLED, LOOSE = 3, 0.2, 0.05
 #: Texts of characters under U+0250 without these have the same ids from either library.
 _SEPARATORS, _OTHER = "\x1c\x1d\x1e\x1f", re.compile("[\u0250-\U0010ffff]")
 
@@ -156,79 +159,127 @@ def best_fit(sizes: list[int], groups: list[list[int]], loose: list[int], capaci
     return groups
 
 
-def fitness(sizes: list[int], groups: list[list[int]], capacity: int) -> tuple[int, float]:
+#: An individual: sequences as (fill, pieces).
+Individual = list[tuple[int, tuple[int, ...]]]
+
+
+def fitness(people: Individual) -> tuple[int, int]:
     """Fewer sequences first, then the unevenness of their fill."""
-    return -len(groups), sum((sum(sizes[x] for x in g) / capacity) ** 2 for g in groups)
+    return -len(people), sum(fill * fill for fill, _ in people)
+
 
+def measured(sizes: list[int], groups: list[list[int]]) -> Individual:
+    return [(sum(map(sizes.__getitem__, g)), tuple(g)) for g in groups]
 
-def crossover(sizes: list[int], giver: list[list[int]], taker: list[list[int]], capacity: int, rng: random.Random) -> list[list[int]]:
-    full = sorted(giver, key=lambda g: -sum(sizes[x] for x in g))
-    first = rng.randrange(max(1, len(full) // 4))
-    injected = [list(g) for g in full[first : first + max(1, len(full) // 2)]]
+
+def best_subset(sizes: list[int], loose: list[int], space: int) -> list[int]:
+    """Places in ``loose`` of pieces whose sum comes nearest to ``space`` from below; the first ones where several do.
+
+    Sums that can be reached are bits of a number, one number for each place.
+    """
+    mask, reach = (1 << (space + 1)) - 1, [1]
+    for x in loose:
+        reach.append((reach[-1] | reach[-1] << sizes[x]) & mask)
+        if reach[-1] >> space:
+            break
+    total, k, out = reach[-1].bit_length() - 1, len(reach) - 1, []
+    while total:
+        while reach[k - 1] >> total & 1:
+            k -= 1
+        k -= 1
+        out.append(k)
+        total -= sizes[loose[k]]
+    return out
+
+
+def refill(sizes: list[int], loose: list[int], capacity: int) -> Individual:
+    """Sequences of the pieces ``loose``: the largest one left opens a sequence and draws the others that fill it best."""
+    left, out = sorted(loose, key=lambda x: (-sizes[x], x)), []
+    while left:
+        first, left = left[0], left[1:]
+        drawn = set(best_subset(sizes, left, capacity - sizes[first]))
+        group = (first, *(left[k] for k in sorted(drawn)))
+        left = [x for k, x in enumerate(left) if k not in drawn]
+        out.append((sum(map(sizes.__getitem__, group)), group))
+    return out
+
+
+def crossover(sizes: list[int], giver: Individual, taker: Individual, capacity: int, rng: random.Random) -> Individual:
+    well_filled = [g for fill, g in giver if fill == capacity] or [max(giver)[1]]
+    injected = rng.sample(well_filled, min(INJECTED, len(well_filled)))
     placed = {x for g in injected for x in g}
     kept, displaced = [], []
-    for g in taker:
-        if placed.isdisjoint(g):
-            kept.append(list(g))
+    for gene in taker:
+        if placed.isdisjoint(gene[1]):
+            kept.append(gene)
         else:
-            displaced += [x for x in g if x not in placed]
-    # Mutation: the emptiest of the kept are dissolved too.
-    kept.sort(key=lambda g: -sum(sizes[x] for x in g))
-    for _ in range(min(len(kept), 1 + len(kept) // 20)):
-        displaced += kept.pop()
-    displaced.sort(key=lambda x: -sizes[x])
-    return best_fit(sizes, injected + kept, displaced, capacity)
-
-
-def evolve(sizes: list[int], capacity: int = CAPACITY, seed: int = 0) -> list[list[int]]:
-    """An island: groups of indices of ``sizes``, each of at most ``capacity`` in sum."""
+            displaced += [x for x in gene[1] if x not in placed]
+    # Mutation: the emptiest and some others that aren't full are dissolved, and of a few others those of most pieces.
+    open_ = [i for i, gene in enumerate(kept) if gene[0] < capacity]
+    out = set(rng.sample(open_, min(DISSOLVED, len(open_))))
+    out.update(sorted(open_, key=lambda i: kept[i][0])[:1])
+    out.update(sorted(rng.sample(range(len(kept)), min(len(kept), 8 * MIXED)), key=lambda i: -len(kept[i][1]))[:MIXED])
+    displaced += [x for i in out for x in kept[i][1]]
+    child = [gene for i, gene in enumerate(kept) if i not in out] + measured(sizes, injected) + refill(sizes, displaced, capacity)
+    # The emptiest sequence goes, where best fit finds room for all its pieces elsewhere.
+    last = min(range(len(child)), key=lambda i: child[i][0])
+    if child[last][0] <= (len(child) - 1) * capacity - sum(fill for fill, _ in child) + child[last][0]:
+        groups = [list(g) for i, (_, g) in enumerate(child) if i != last]
+        tried = best_fit(sizes, groups, sorted(child[last][1], key=lambda x: -sizes[x]), capacity)
+        if len(tried) < len(child):
+            return measured(sizes, tried)
+    return child
+
+
+def evolve(sizes: list[int], capacity: int = CAPACITY, seed: int = 0, immigrants: list[list[int]] | None = None) -> list[list[int]]:
+    """An island: groups of indices of ``sizes``, each of at most ``capacity`` in sum. ``immigrants`` are such groups already."""
+    if not sizes:
+        return []
     rng = random.Random(seed)
     falling = sorted(range(len(sizes)), key=lambda x: -sizes[x])
-    bound = -(-sum(sizes) // capacity)
-
-    def first(deme: int, k: int) -> list[list[int]]:
-        order = list(falling)
-        if deme or k:  # the first individual is plain best fit decreasing
-            order.sort(key=lambda x: -sizes[x] * rng.uniform(0.9, 1.1))
-        return best_fit(sizes, [], order, capacity)
-
-    value = lambda g: fitness(sizes, g, capacity)
-    demes = [[first(0, 0)]]
-    if len(demes[0][0]) <= bound:
-        return demes[0][0]
-    demes = [[*(demes[0] if d == 0 else []), *(first(d, k) for k in range(d == 0, PEOPLE))] for d in range(DEMES)]
-    for _ in range(MIGRATIONS):
-        for people in demes:
-            for _ in range(GENERATIONS):
-                people.sort(key=value, reverse=True)
-                a, b = people[0], people[rng.randrange(1, len(people))]
-                people += [crossover(sizes, a, b, capacity, rng), crossover(sizes, b, a, capacity, rng)]
-                people.sort(key=value, reverse=True)
-                del people[PEOPLE:]
-        elites = [max(p, key=value) for p in demes]
-        if min(map(len, elites)) <= bound:
-            break
-        for i, p in enumerate(demes):  # the elite of each deme moves to the next one
-            p[-1] = elites[i - 1]
-    return max((g for p in demes for g in p), key=value)
+    first = [best_fit(sizes, [], falling, capacity), *([immigrants] if immigrants else [])]
+    while len(first) < PEOPLE:
+        first.append(best_fit(sizes, [], sorted(falling, key=lambda x: -sizes[x] * rng.uniform(0.95, 1.05)), capacity))
+    people = sorted(((fitness(p), p) for p in (measured(sizes, g) for g in first)), key=lambda t: t[0], reverse=True)
+    for _ in range(GENERATIONS):
+        if sum(fill < capacity for fill, _ in people[0][1]) <= 1:
+            break  # no better individual can be
+        best, i = people[0][1], rng.randrange(1, len(people))
+        other = people[i][1]
+        for giver, taker, place in ((other, best, 0), (best, other, i)):
+            child = crossover(sizes, giver, taker, capacity, rng)
+            value = fitness(child)
+            if value >= people[place][0]:
+                people[place] = value, child
+            elif value > people[-1][0]:
+                people[-1] = value, child
+        people.sort(key=lambda t: t[0], reverse=True)
+    return [list(g) for _, g in people[0][1]]
+
+
+def _settled(groups: list[list[int]], fills: list[int], capacity: int) -> list[bool]:
+    """Which sequences of an island are final."""
+    final = [f == capacity and len(g) <= FEW_PIECES for f, g in zip(fills, groups, strict=True)]
+    if sum(final) >= SETTLED * len(groups):
+        return final
+    # Pieces of which few full sequences can be made: other islands won't do better by much.
+    emptiest = set(sorted(range(len(groups)), key=lambda i: fills[i])[: max(1, int(LOOSE * len(groups)))])
+    return [i not in emptiest for i in range(len(groups))]
 
 
 def _island(capacity: int, last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         sizes = rows["length"].tolist()
-        n_full = bisect_left([-s for s in sizes], -capacity + 1)
-        groups = [[i] for i in range(n_full)]
-        groups += [[n_full + x for x in g] for g in evolve(sizes[n_full:], capacity, int(rows["island"].iloc[0]))]
-        space = [capacity - sum(sizes[x] for x in g) for g in groups]
-        leave = set() if last else set(sorted((i for i, s in enumerate(space) if s > LOOSE_SPACE), key=lambda i: -space[i])[: max(1, int(len(groups) * LOOSE_SHARE))])
+        came = rows.groupby("gene", sort=True).indices if (rows["gene"] >= 0).all() else {}
+        groups = evolve(sizes, capacity, int(rows["island"].iloc[0]), [g.tolist() for g in came.values()])
+        fills = [sum(sizes[x] for x in g) for g in groups]
+        final = [True] * len(groups) if last else _settled(groups, fills, capacity)
         slot, offset, moves = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
         for i, g in enumerate(groups):
-            at = 0
-            for x in g:
-                slot[x], offset[x], moves[x] = i, at, i in leave
-                at += sizes[x]
-        return rows.assign(slot=slot, offset=offset, moves=moves)
+            slot[g], moves[g] = i, not final[i]
+            offset[g] = np.cumsum([0, *(sizes[x] for x in g[:-1])])
+        return rows.drop(columns="gene").assign(slot=slot, offset=offset, moves=moves)
 
     return run
 
@@ -236,21 +287,26 @@ def _island(capacity: int, last: bool):
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``rows`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
-    ``length`` must be 1 to ``capacity``. Repeated rows are packed each. An empty table gives an empty table.
+    ``length`` must be 1 to ``capacity``. Repeated rows are packed each, whatever is null. An empty table gives an empty table.
+    ``rows`` is read several times and should be a stored table.
     """
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    base = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", "piece", "start", "length", "ids_crc32"))
-    done, todo = None, rows
-    for level in range(LEVELS):
+    base = ", ".join(f"{c} {kinds[c]}" for c in names)
+    number = F.lit(ROUNDS << 58) + F.monotonically_increasing_id()
+    done = rows.where(F.col("length") == capacity).select(*names, number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    todo = rows.where(F.col("length") < capacity).select(*names, F.lit(-1).cast("long").alias("gene"))
+    for level in range(ROUNDS):
         n = max(1, -(-todo.count() // ISLAND))
-        dealt = todo.withColumn("island", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(level)), F.lit(n)))
-        out = store(dealt.groupBy("island").applyInPandas(_island(capacity, level == LEVELS - 1 or n == 1), f"{base}, island long, slot long, offset long, moves boolean"), f"level{level}")
-        number = F.shiftleft(F.col("island"), 14) + F.col("slot") + F.lit(level << 58)
-        final = out.where("not moves").select("doc_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset")
-        done = final if done is None else done.unionByName(final)
+        key = F.col("gene") if level else F.monotonically_increasing_id()
+        dealt = todo.withColumn("island", F.pmod(F.xxhash64(key, F.lit(level)), F.lit(n)))
+        made = dealt.groupBy("island").applyInPandas(_island(capacity, level == ROUNDS - 1 or n == 1), f"{base}, island long, slot long, offset long, moves boolean")
+        out = store(made, f"round{level}")
+        gene = F.shiftleft(F.col("island"), 16) + F.col("slot")
+        done = done.unionByName(out.where("not moves").select(*names, (gene + F.lit(level << 58)).alias("sequence_id"), "offset"))
         if n == 1:
             break
-        todo = out.where("moves").select("doc_id", "piece", "start", "length", "ids_crc32")
+        todo = out.where("moves").select(*names, gene.alias("gene"))
     return done
 
 

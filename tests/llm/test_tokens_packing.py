@@ -81,10 +81,71 @@ def test_evolve_is_a_tight_partition(seed):
     assert sorted(x for g in groups for x in g) == list(range(700))
     assert all(0 < sum(sizes[x] for x in g) <= 1024 for g in groups)
     plain = packing.best_fit(sizes, [], sorted(range(700), key=lambda x: -sizes[x]), 1024)
-    assert len(groups) <= len(plain)
+    assert packing.fitness(packing.measured(sizes, groups)) >= packing.fitness(packing.measured(sizes, plain))
     assert packing.evolve([], 1024) == []
 
 
+@pytest.mark.parametrize(("n", "most"), [(20, 20), (60, 62), (150, 152)])
+def test_evolve_beats_best_fit_decreasing(n, most):
+    rng, sizes = random.Random(n), []
+    for _ in range(n):  # sequences of three pieces each that are full: the fewest there can be is known
+        a = rng.randrange(260, 420)
+        b = rng.randrange(260, 1024 - a - 260)
+        sizes += [a, b, 1024 - a - b]
+    plain = packing.best_fit(sizes, [], sorted(range(3 * n), key=lambda x: -sizes[x]), 1024)
+    groups = packing.evolve(sizes, 1024, 1)
+    assert n <= len(groups) <= most < len(plain)
+
+
+def fewest(sizes, capacity):
+    """The fewest bins, by trying everything."""
+    best = len(sizes)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(sizes):
+            best = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + sizes[i] <= capacity and bins[k] not in bins[:k]:
+                bins[k] += sizes[i]
+                place(i + 1, bins)
+                bins[k] -= sizes[i]
+        place(i + 1, [*bins, sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_evolve_finds_the_fewest_of_small_cases():
+    rng = random.Random(6)
+    for _ in range(60):
+        sizes = [rng.randrange(10, 70) for _ in range(rng.randrange(1, 11))]
+        assert len(packing.evolve(sizes, 100, 3)) == fewest(sizes, 100), sizes
+
+
+def test_best_subset_comes_nearest():
+    rng = random.Random(7)
+    for _ in range(200):
+        sizes = [rng.randrange(1, 60) for _ in range(9)]
+        space = rng.randrange(0, 150)
+        got = packing.best_subset(sizes, list(range(9)), space)
+        sums = [sum(x for k, x in enumerate(sizes) if m >> k & 1) for m in range(512)]
+        assert len(set(got)) == len(got) and sum(sizes[k] for k in got) == max(x for x in sums if x <= space)
+
+
+def test_crossover_keeps_every_piece_once():
+    rng = random.Random(9)
+    sizes = [rng.randrange(1, 1024) for _ in range(300)]
+    falling = sorted(range(300), key=lambda x: -sizes[x])
+    a, b = (packing.measured(sizes, packing.best_fit(sizes, [], order, 1024)) for order in (falling, falling[::-1]))
+    for _ in range(30):
+        a = packing.crossover(sizes, b, a, 1024, rng)
+        assert sorted(x for _, g in a for x in g) == list(range(300)) and all(f == sum(sizes[x] for x in g) <= 1024 for f, g in a)
+
+
 def test_pack_documents(spark, monkeypatch):
     monkeypatch.setattr(packing, "ISLAND", 64)
     rng = random.Random(2)
