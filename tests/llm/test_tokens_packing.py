@@ -25,17 +25,6 @@ def test_count_equals_library(words, text):
     assert words.count(text) == len(words.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
-@pytest.mark.parametrize("text", [t[:60] for t in TEXTS])
-def test_every_prefix(words, text):
-    table = words.table(text)
-    for k in range(len(text) + 1):
-        want = len(words.tokenizer.encode(text[:k], add_special_tokens=False).ids)
-        assert words.count_at(text, k, table) == want
-    for budget in range(6):
-        n = words.fit(text, budget, table)
-        assert words.count(text[:n]) <= budget
-
-
 def test_random_texts_equal_library(words):
     rng = random.Random(5)
     for _ in range(300):
@@ -171,27 +160,62 @@ def test_pack_documents(spark, monkeypatch):
 
 
 LONG = [
-    "漢字かな" * 300, "https://example.org/a/b?c=d&e=" + "QmFzZTY0" * 60, "it're'l!!'s 'vex''ll" * 9, "İSTANBULǅéÉ" * 40, "éx̧가각" * 20, "한국어" * 90, "a" * 500, "👍🏽" * 60,
+    "漢字かな" * 60, "https://example.org/a/b?c=d&e=" + "QmFzZTY0" * 60, "it're'l!!'s 'vex''ll" * 9, "İSTANBULǅéÉ" * 40, "éx̧가각" * 20, "한국어" * 90, "a" * 500, "👍🏽" * 60,
     "function(){return!0};" * 40, "  lead " + "z9" * 90 + "  end  ",
 ]
 
 
-@pytest.mark.parametrize("text", TEXTS + LONG)
+#: Marks that compose, that don't, jamo and vowel signs; special strings beside words and cut ones.
+ODD = [
+    "e\u0301" * 40, "a\u0323\u0302b\u0302\u0323" * 12, "\u1112\u1161\u11ab\u1100\u1173\u11af" * 9, "\u0915\u093e\u09c7\u09be" * 8, "x'\u0301s 're\u0301 '\u0327s ''s\u0308" * 3, "!'s\u0301" * 5,
+    "\u0301\u0302 \u0301", "1\u0301" * 5, "...\u0338" * 6, "a<|endoftext|><|endoftext|>b!!<|endoftext|>  <|startoftext|>c", "<|endoftext|", "x<|<|endoftext|>", "q\x1c<|endoftext|>\x1f", "\u212b\u1e9b\u0323",
+]
+
+
+def brute(words, text):
+    return [len(words.tokenizer.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+
+
+@pytest.mark.parametrize("text", [t[:200] for t in TEXTS] + LONG + ODD)
 def test_fit_is_the_longest_prefix(words, text):
-    want = [len(words.tokenizer.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
-    table = words.table(text)
-    assert [words.count_at(text, k, table) for k in range(len(text) + 1)] == want
+    want = brute(words, text)
+    units = words.units(text)
+    assert words.prefixes(text).tolist() == want and words.count(text) == want[-1]
+    assert [words.count_at(text, k, units) for k in range(len(text) + 2)] == [*want, want[-1]]
     for budget in (0, 1, 2, 3, 7, 20, 33, 100, 250):
-        assert words.fit(text, budget, table) == max(k for k, n in enumerate(want) if n <= budget)
+        assert words.fit(text, budget, units) == max(k for k, n in enumerate(want) if n <= budget)
 
 
 def test_fit_of_random_words(words):
     rng = random.Random(8)
-    for _ in range(150):
-        text = "".join(rng.choice(["the", "ing", "'re", "'", "l", "é", "Ö", "1", "..", "=", "漢", "ß", "tion", "x", "q", " "]) for _ in range(rng.randrange(1, 40)))
-        want = [len(words.tokenizer.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
-        assert [words.count_at(text, k) for k in range(len(text) + 1)] == want, text
-        assert words.fit(text, 9) == max(k for k, n in enumerate(want) if n <= 9)
+    parts = ["the", "ing", "'re", "'", "l", "é", "Ö", "1", "..", "=", "漢", "ß", "tion", "x", "q", " ", "e", "\u0301", "\u0323", "<|endoftext|>", "<|", "\x1d", "!", "\u1161", "\u1112", "s"]
+    for _ in range(600):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 40)))
+        want = brute(words, text)
+        assert words.prefixes(text).tolist() == want, text
+        for budget in (rng.randrange(12), 9):
+            assert words.fit(text, budget) == max(k for k, n in enumerate(want) if n <= budget), text
+
+
+def test_long_texts_take_linear_time(words):
+    import time
+
+    for text in ("abc <|endoftext|>" * 1000 + "word salad " * 90_000, "a<|endoftext|>" * 60_000, "e\u0301" * 100_000, "x\x1cy " * 100_000, "漢" * 200_000):
+        began = time.perf_counter()
+        n = words.count(text)
+        k = words.fit(text, 2048)
+        assert n > 2048 and words.count(text[:k]) <= 2048 and time.perf_counter() - began < 20
+
+
+def test_prefix_tables(spark, words):
+    made = [(i, t) for i, t in enumerate(TEXTS + ODD)] + [(99, None), (0, "again")]
+    stored = tokens.prefix_tables(spark.createDataFrame(made, "doc_id long, text string"), tokens.tokenizer_path())
+    got = sorted((r.doc_id, r.counts) for r in stored.collect())
+    assert got == sorted((i, brute(words, t or "")) for i, t in made)
+    asked = stored.select("doc_id", "counts", tokens.tokens_of_prefix(tokens.F.col("counts"), tokens.F.lit(5)).alias("n"), tokens.longest_fit(tokens.F.col("counts"), tokens.F.lit(3)).alias("k"))
+    for r in asked.collect():
+        assert r.n == r.counts[min(5, len(r.counts) - 1)] and r.k == max(k for k, n in enumerate(r.counts) if n <= 3)
+    assert stored.select(tokens.longest_fit(tokens.F.col("counts"), tokens.F.lit(-1)).alias("k")).first().k is None
 
 
 def test_words_without_white_space(spark, words):
