@@ -1,8 +1,9 @@
 """Document fingerprints from Lempel-Ziv phrases.
 
 A text is parsed once, left to right, into the phrases of a growing dictionary (each is the shortest string that isn't in
-the dictionary yet, of at most ``LONGEST`` code points). The phrases are hashed, and the fingerprint is the ``KEPT``
-smallest distinct hashes. The share of equal values among the smallest of two fingerprints' union estimates the
+the dictionary yet). A phrase is a known phrase and one more character, so the dictionary is a tree, phrases of any length
+cost one look-up a character, and a phrase's hash follows from that of the phrase it continues. The fingerprint is the
+``KEPT`` smallest distinct hashes. The share of equal values among the smallest of two fingerprints' union estimates the
 Jaccard likeness of the phrase sets: texts that compress each other share phrases.
 
 A second text that agrees with the first up to some place has the same phrases up to there, so an edited copy is
@@ -12,7 +13,6 @@ parsed from that place on only.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,49 +24,67 @@ from pyspark.sql import functions as F
 from tessellane.llm.shared import small_batches, whole_text
 
 KEPT = 128
-#: Keeps the cost of a text linear in its length, whatever it repeats.
-LONGEST = 64
+#: A polynomial hash of code points, modulo a prime.
+_PRIME, _BASE, _CODES = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1), 0x110000
 #: Texts, in code points, that a range of neighbouring documents holds on average, and the most ranges there are.
 RANGE_CHARS, MOST_RANGES = 16_000_000, 100_000
 #: Texts, in code points, that a task reads on average at most, as long as there are no more than MOST_RANGES tasks.
 TASK_CHARS = 64_000_000
-_NONE = np.zeros(0, np.uint32)
-
-
-def parse(text: str, phrases: list[str], begun: str = "") -> str:
-    """Append the phrases of ``text`` to ``phrases``, a parse so far whose last, unfinished phrase is ``begun``; return the new one."""
-    seen = set(phrases)
-    known, keep, w = seen.__contains__, phrases.append, begun
-    for c in text:
-        w += c
-        if not known(w):
-            seen.add(w)
-            keep(w)
-            w = ""
-        elif len(w) == LONGEST:
-            w = ""
-    return w
-
-
-def smallest(phrases: list[str]) -> np.ndarray:
-    """The smallest distinct hashes of the phrases, ascending."""
-    if not phrases:
-        return _NONE
-    h = np.fromiter(map(zlib.crc32, map(str.encode, phrases)), np.uint32, len(phrases)).astype(np.uint64)
-    h += np.fromiter(map(len, phrases), np.uint64, len(phrases)) << np.uint64(32)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    h = ((h ^ (h >> np.uint64(33))) >> np.uint64(32)).astype(np.uint32)
-    if len(h) > 4 * KEPT:
-        h = h[h <= np.partition(h, 2 * KEPT)[2 * KEPT]]
-    return np.unique(h)[:KEPT]
+
+
+class Parse:
+    """A parse so far: the phrases' tree, their hashes, and the phrase that the unfinished end of the text is."""
+
+    def __init__(self) -> None:
+        # A phrase is its place in ``hashes`` times ``_CODES``; a phrase plus a character's code -> the longer phrase. 0 is the empty phrase.
+        self.tree: dict[int, int] = {}
+        self.hashes = [0]
+        self.begun = 0
+
+    def go_on(self, text: str) -> None:
+        tree, hashes, phrase = self.tree, self.hashes, self.begun
+        known, keep, fresh = tree.get, hashes.append, len(hashes) * _CODES
+        for code in np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).tolist():
+            longer = known(phrase + code)
+            if longer:
+                phrase = longer
+            else:
+                tree[phrase + code] = fresh
+                fresh += _CODES
+                keep((hashes[phrase // _CODES] * _BASE + code + 1) % _PRIME)
+                phrase = 0
+        self.begun = phrase
+
+    def mark(self) -> tuple[int, int]:
+        return len(self.tree), self.begun
+
+    def back(self, mark: tuple[int, int]) -> None:
+        """Forget what was parsed after ``mark``."""
+        size, self.begun = mark
+        while len(self.tree) > size:
+            self.tree.popitem()
+        del self.hashes[size + 1 :]
+
+    def smallest(self) -> np.ndarray:
+        """The smallest distinct hashes of the phrases, ascending."""
+        h = np.array(self.hashes[1:], np.uint64)
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        h = ((h ^ (h >> np.uint64(33))) >> np.uint64(32)).astype(np.uint32)
+        if len(h) > 4 * KEPT:
+            h = h[h <= np.partition(h, 2 * KEPT)[2 * KEPT]]
+        return np.unique(h)[:KEPT]
+
+
+def smallest(text: str) -> np.ndarray:
+    own = Parse()
+    own.go_on(text)
+    return own.smallest()
 
 
 def fingerprint(text: str) -> str:
     """Hexadecimal digits, eight for each kept hash; empty for the empty text. Equal texts have equal fingerprints."""
-    phrases: list[str] = []
-    parse(text, phrases)
-    return show(smallest(phrases))
+    return show(smallest(text))
 
 
 def show(hashes: np.ndarray) -> str:
@@ -88,7 +106,11 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_chars, fingerprint: the operator on texts alone, in one pass without a shuffle."""
+    """doc_id, n_chars, fingerprint: the operator on texts alone, in one pass without a shuffle.
+
+    Null and empty texts have the empty fingerprint; repeated rows stay; an empty table gives an empty table; doc_id may be of any
+    type; other columns aren't read.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,23 +125,21 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 class _Doc:
     """A document while its fingerprint and its edited copy's are made."""
 
-    def __init__(self, doc_id, text: str, tail: bool) -> None:
-        self.doc_id, self.text, self.tail = doc_id, text, tail
-        self.phrases: list[str] = []
-        self.half = len(text) // 2
-        self.begun = parse(text[: len(text) - self.half], self.phrases)
-        self.shared = len(self.phrases)
-        self.rest = self.phrases[:]
-        parse(text[len(text) - self.half :], self.rest, self.begun)
-        self.hashes = smallest(self.rest)
-        del self.rest
+    def __init__(self, doc_id, text: str) -> None:
+        self.doc_id, self.text = doc_id, text
+        self.head, self.parse = len(text) - len(text) // 2, Parse()
+        self.parse.go_on(text[: self.head])
+        shared = self.parse.mark()
+        self.parse.go_on(text[self.head :])
+        self.hashes = self.parse.smallest()
+        self.parse.back(shared)
 
     def beside(self, after: _Doc) -> tuple:
-        new = after.text[: self.half]
-        phrases = self.phrases[:]
-        parse(new, phrases, self.begun)
-        edited = self.text[: len(self.text) - self.half] + new
-        own = self.hashes if edited == self.text else smallest(phrases)
+        edited = self.text[: self.head] + after.text[: len(self.text) - self.head]
+        own = self.hashes
+        if edited != self.text:
+            self.parse.go_on(edited[self.head :])
+            own = self.parse.smallest()
         return (
             self.doc_id, len(self.text), hashlib.sha256(edited.encode()).hexdigest(), show(self.hashes), show(own),
             likeness(self.hashes, own), likeness(self.hashes, after.hashes),
@@ -136,7 +156,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for where, tail, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            now = _Doc(doc_id, text, tail)
+            now = _Doc(doc_id, text)
             if before is not None and at == where:
                 rows.append(before.beside(now))
             before, at = (None if tail else now), where
@@ -152,13 +172,16 @@ def with_edits(docs: DataFrame, text: str = "text") -> DataFrame:
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Null text is empty; a single document is its own next; repeated rows stay, side by side; an empty table gives an empty
-    table; texts are read whole; other columns aren't read. The documents are dealt over ranges of doc_id by quantiles, in
+    table; texts are read whole; other columns aren't read; doc_id must be a whole number (the order of documents is cut by its
+    quantiles), else a TypeError. The documents are dealt over ranges of doc_id by quantiles, in
     one shuffle of the texts; a range gets, besides its own, the first document of the next range, so a worker holds two
     documents and a batch.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"doc_id must be a whole number, not {kind}")
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     order = docs.select(F.col("doc_id"), whole_text(text).alias("text"))
     chars = docs.select("doc_id", F.length(whole_text(text)).alias("n"))
@@ -173,7 +196,7 @@ def with_edits(docs: DataFrame, text: str = "text") -> DataFrame:
     def range_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64), "right").astype(np.int32))
 
-    placed = order.withColumn("range", range_of(F.coalesce("doc_id", F.lit(-(2**63)))))
+    placed = order.withColumn("range", range_of(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))))
     # The first document of each range, as the one before it must see it; the driver holds an id a range, MOST_RANGES at most.
     least = F.when(F.count("*") > F.count("doc_id"), F.lit(None)).otherwise(F.min("doc_id")).alias("doc_id")
     firsts = [tuple(r) for r in placed.groupBy("range").agg(least).orderBy("range").collect()]
