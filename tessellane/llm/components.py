@@ -11,17 +11,25 @@ from tessellane.llm.shared import discard, store
 MOST_ROUNDS = 60
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether each node either names one other node or is named, never both."""
+    uses = edges.select(F.col("u").alias("node"), F.lit(1).alias("names"), F.lit(0).alias("named"))
+    uses = uses.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("names"), F.lit(1).alias("named")))
+    per_node = uses.groupBy("node").agg(F.sum("names").alias("names"), F.max("named").alias("named"))
+    return per_node.where((F.col("names") > 1) | ((F.col("names") > 0) & (F.col("named") > 0))).isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node that has a link to another; component is the smallest node reachable.
 
     Alternating large-star and small-star steps: in each, a node's neighbours are linked to its smallest neighbour, so
     the table never has more rows than links it began with. A star's centre never gathers its neighbours: steps are
     ``min`` by key (combined before the shuffle) joined back on the key, where AQE splits a hot key. Each round is
-    written to the shared folder; the loop ends when a round leaves the sum of labels as it was.
+    written to the shared folder; the loop ends when all links lead straight to their component's smallest node, and a
+    RuntimeError is raised if they don't after ``MOST_ROUNDS``.
     """
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = store(edges, "links")
-    before = None
     for _ in range(MOST_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -30,11 +38,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = store(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        seen = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         discard(edges)
         edges = after
-        if before == (seen["n"], seen["h"]):
+        if _is_star_forest(edges):
             break
-        before = (seen["n"], seen["h"])
+    else:
+        raise RuntimeError(f"components aren't settled after {MOST_ROUNDS} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

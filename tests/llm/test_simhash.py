@@ -92,6 +92,56 @@ def test_forest_links_components():
     assert comp == want
 
 
+def hot_points():
+    """Two clouds around centres that agree on their first bits, and points far from both."""
+    rng = random.Random(12)
+    out = set()
+    for centre in (0xF0F0F0F0F0F0F0F0, 0xF0F0F0F0F0F00F0F):
+        for _ in range(150):
+            out.add(centre ^ sum(1 << b for b in rng.sample(range(48), rng.choice([1, 2, 4, 9]))))
+    while len(out) < 420:
+        out.add(rng.getrandbits(64))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limit", [8, 40, 100_000])
+def test_hot_shards_are_split_and_exact(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "SPLIT", limit)
+    points = hot_points()
+    rows = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(points)], "doc_id long, bits long")
+    prints = rows.unionByName(rows.where("doc_id < 5"))
+    got = {r.bits: r.smallest for r in simhash.near_duplicates(prints).collect()}
+    want = brute_components(list(range(len(points))), points)
+    assert [got[r.bits] for r in rows.orderBy("doc_id").collect()] == want
+    shards = simhash.split(rows.selectExpr("1L as shard", "bits"), 4)
+    sizes = [r["count"] for r in shards.groupBy("shard", "tile").count().collect()]
+    if limit == 40:
+        assert len(sizes) > 1 and max(sizes) <= 4 * limit
+        assert shards.select("shard").distinct().count() > 1  # a vantage point has split it
+
+
+def test_no_link_is_lost_by_a_split(spark):
+    points = hot_points()
+    rows = spark.createDataFrame([(1, True, p - (1 << 64) if p >> 63 else p) for p in points], "shard long, home boolean, bits long")
+    cut = {(r.bits & (1 << 64) - 1): r for r in simhash.split_once(rows, 4, 0).collect()}
+    assert len(cut) == len(points) and len({r.mu for r in cut.values()}) == 1
+    mu = next(iter(cut.values())).mu
+    assert mu is not None and all(r.d == (b ^ (r.pivot & (1 << 64) - 1)).bit_count() for b, r in cut.items())
+    for i, a in enumerate(points):
+        for b in points[:i]:
+            if (a ^ b).bit_count() <= 4:
+                near, far = sorted((cut[a].d, cut[b].d))
+                assert far <= mu + 4 or near > mu
+
+
+def test_components_say_when_they_give_up(spark, monkeypatch):
+    from tessellane.llm import components as module
+
+    monkeypatch.setattr(module, "MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long"))
+
+
 def test_components_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(500, 501), (7, 7)], "a long, b long")
     got = dict(map(tuple, components(links).collect()))
