@@ -27,9 +27,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def random_key(doc_id: Column, seed: str) -> Column:
-    """A key that looks random but is the same in each run and in each engine that has MD5."""
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}")))
+def random_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """A key that looks random but is the same in each run and in each engine that has MD5. The text is part of it, so that rows
+    without an id, or with one and the same, don't all have one key."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}:"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def targets(by_source: DataFrame, share: float, most: int) -> DataFrame:
@@ -67,7 +68,7 @@ def _named(source: Column) -> Column:
 
 def _keyed(docs: DataFrame, seed: str, *more: Column, text: str = "text") -> DataFrame:
     """doc_id, source, named, size, key, range: what mixing needs of each document."""
-    sized = docs.select(F.col("doc_id"), F.col("source"), _named(F.col("source")).alias("named"), word_count(F.col(text)).alias("size"), random_key(F.col("doc_id"), seed).alias("key"), *more)
+    sized = docs.select(F.col("doc_id"), F.col("source"), _named(F.col("source")).alias("named"), word_count(F.col(text)).alias("size"), random_key(F.col("doc_id"), F.col(text), seed).alias("key"), *more)
     return sized.withColumn("range", F.conv(F.substring("key", 1, RANGE_DIGITS), 16, 10).cast("int"))
 
 
@@ -99,7 +100,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, seed: str = "mix", t
     come first; the rest of the budget goes to the documents with the smallest keys, the last of which is cut.
 
     Null text and text without words have size 0 and take 0; null sources are one source, the last; an empty table
-    gives an empty table; repeated rows count as often as they occur, ties of the key fall to doc_id and size.
+    gives an empty table; repeated rows count as often as they occur; ties of the key (rows that repeat in doc_id and text, which
+    share a range) fall to doc_id and size.
     Other columns of ``docs`` are not read, so they can't clash.
     """
     sized = store(_keyed(docs, seed, text=text), "sizes")
@@ -124,7 +126,7 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, most: int = 2, seed: st
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix') AS key
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix:' || md5(coalesce(text, ''))) AS key
   FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighted AS (
