@@ -3,11 +3,13 @@
 A rule (host, path) fits its host and all subdomains, on paths that start with the rule's. Hosts are read from the
 right (``com.example.www``), so that a URL is looked up under each suffix of its host that some rule names. The
 canonical key under one suffix is the reversed suffix followed by the path, and the rules there are intervals of keys,
-nested or disjoint. One sorted sweep meets rule starts and URLs; each rule start brings the stack of rules that are
-active there, and the innermost rule of the latest stack that still holds the URL is the one that fits.
+nested or disjoint. One sorted sweep over all keys meets rule starts and URLs; each rule start brings the stack of rules that
+are active there, and the innermost rule of the latest stack that still holds the URL is the one that fits.
 
-URLs are swept as distinct (host, path); the URLs of a suffix are dealt over as many sweeps as their number asks for, so
-a suffix such as ``com`` with most of all rows isn't swept by one task. Only the rules of that suffix are repeated.
+The sweep is cut into ranges of keys of about ``SWEEP_ROWS`` rows each, wherever suffixes begin and end, so a suffix such as
+``com`` with most of all rows isn't swept by one task. A range begins with the stack that was open at its start: the last one
+of the ranges before it, which is a running value over one row a range. URLs are swept as distinct (host, path); no rule
+and no URL is repeated.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessellane.llm.shared import store
 
-#: A suffix has so many sweeps that each holds about this many distinct URLs.
+#: Rows that a range of keys holds, on average, at most.
 SWEEP_ROWS = 100_000
 #: (verdict, host, path)
 RULES = (
@@ -45,7 +47,10 @@ def path_of(url: Column) -> Column:
 
 
 def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str, str]] = RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    rows = [F.struct(*[F.lit(x).cast("string").alias(n) for n, x in zip(("verdict", "host", "path"), r, strict=True)]) for r in rules]
+    if not rows:
+        return spark.createDataFrame([], "verdict string, host string, path string")
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def _suffixes(host: Column) -> Column:
@@ -82,26 +87,25 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url: str =
     one without ``://`` have empty host and path and fit no rule. Repeated rows stay; an empty table, or no rules, is
     fine. Other columns of ``pages`` aren't read.
     """
+    spark = pages.sparkSession
     parsed = pages.select("page_id", host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     starts = store(stacked(rules), "rules")
     hosts = starts.select(F.col("host").alias("suffix")).distinct()
-    urls = store(
-        parsed.where("host <> ''").select("host", "path").distinct()
-        .withColumn("suffix", F.explode(_suffixes(F.col("host")))).join(hosts, "suffix"), "urls",
-    )
-    sweeps = urls.groupBy("suffix").agg(F.ceil(F.count("*") / SWEEP_ROWS).cast("int").alias("n_sweeps"))
-    sweep = F.pmod(F.xxhash64("host", "path"), F.col("n_sweeps")).cast("int")
-    lookups = urls.join(sweeps, "suffix").select(
-        _reversed(F.col("suffix")).alias("domain"), sweep.alias("sweep"), F.concat(_reversed(F.col("suffix")), "path").alias("key"), F.lit(1).alias("kind"),
-        "host", "path", F.lit(None).cast(starts.schema["stack"].dataType).alias("stack"), "suffix",
-    )
-    opened = starts.withColumnRenamed("host", "suffix").join(sweeps, "suffix").select(
-        _reversed(F.col("suffix")).alias("domain"), F.explode(F.sequence(F.lit(0), F.col("n_sweeps") - 1)).alias("sweep"),
-        F.concat(_reversed(F.col("suffix")), "path").alias("key"), F.lit(0).alias("kind"),
-        F.lit(None).cast("string").alias("host"), "path", "stack", "suffix",
-    )
-    order = Window.partitionBy("domain", "sweep").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = opened.unionByName(lookups).withColumn("active", F.last("stack", ignorenulls=True).over(order)).where("kind = 1")
+    urls = parsed.where("host <> ''").select("host", "path").distinct().withColumn("suffix", F.explode(_suffixes(F.col("host")))).join(hosts, "suffix")
+    lookups = urls.select(_reversed(F.col("suffix")).alias("domain"), "path", F.lit(1).alias("kind"), "host", "suffix", F.lit(None).cast(starts.schema["stack"].dataType).alias("stack"))
+    opened = starts.select(_reversed(F.col("host")).alias("domain"), "path", F.lit(0).alias("kind"), F.lit("").alias("host"), F.col("host").alias("suffix"), "stack")
+    met = store(opened.unionByName(lookups), "urls")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1, -(-met.count() // SWEEP_ROWS))
+    # No two rows have one key, so ranges are even whatever repeats in suffixes or paths.
+    key = ["domain", "path", "kind", "host"]
+    ranged = store(met.repartitionByRange(n, *key).withColumn("range", F.spark_partition_id()), "sweep")
+    stack = F.when(F.col("kind") == 0, F.struct("domain", "stack"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    lasts = ranged.groupBy("range").agg(F.max_by(stack, F.when(F.col("kind") == 0, F.struct("domain", "path"))).alias("last"))
+    carried = lasts.select("range", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    order = Window.partitionBy("range").orderBy(*key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = ranged.withColumn("latest", F.last(stack, ignorenulls=True).over(order)).where("kind = 1").join(carried, "range")
+    swept = swept.withColumn("latest", F.coalesce("latest", "carried")).where(F.col("latest.domain") == F.col("domain")).withColumn("active", F.col("latest.stack"))
     fits = F.element_at(F.filter("active", lambda r: F.startswith(F.col("path"), r["path"])), -1)
     found = swept.withColumn("fit", F.when(F.size(F.filter("active", lambda r: F.startswith(F.col("path"), r["path"]))) > 0, fits)).where("fit is not null")
     rank = F.struct((F.length("suffix") + F.col("fit.depth")).alias("n"), F.length("suffix").alias("h"), F.concat("suffix", "fit.path").alias("rule"), F.col("fit.verdict").alias("verdict"))

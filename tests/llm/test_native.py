@@ -51,6 +51,12 @@ def test_mix_empty_and_clashing(spark):
     assert [r.taken for r in mixing.mix(only).collect()] == [0, 0]
 
 
+def test_mix_spreads_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, f"text number {i}", "s") for i in range(600)], DOCS)
+    assert mixing._keyed(docs, "mix").select("range").distinct().count() > 400
+    assert mixing.mix(docs).agg({"taken": "sum"}).first()[0] == int(1.5 * 1800)
+
+
 def brute_url(url, rules):
     if url is None or "://" not in url:
         return "", "", None, "allow"
@@ -77,13 +83,26 @@ def test_urls_equal_brute_force(spark):
 
 def test_urls_many_sweeps_and_empty(spark, monkeypatch):
     monkeypatch.setattr(urls, "SWEEP_ROWS", 7)
-    made = [(i, f"http://h{i % 3}.com/en/{i}") for i in range(100)]
+    made = [(i, f"http://h{i % 3}.com/en/{i % 50}") for i in range(100)]
     pages = spark.createDataFrame([(i, u, "rule", "host") for i, u in made], "page_id long, url string, rule string, host string")
     assert rows(urls.judge(pages, urls.rule_table(spark))) == sorted(((i, *brute_url(u, urls.RULES)) for i, u in made), key=str)
     assert urls.judge(pages.limit(0), urls.rule_table(spark)).count() == 0
     assert {r.verdict for r in urls.judge(pages, urls.rule_table(spark).limit(0)).collect()} == {"allow"}
 
 
+def test_urls_of_many_nested_rules_and_ranges(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(urls, "SWEEP_ROWS", 5)
+    rng = random.Random(3)
+    path = lambda: "/" + "/".join(rng.choice("abc") * rng.randrange(3) for _ in range(rng.randrange(4)))
+    host = lambda: ".".join(rng.choice(["a", "b", "com", "org", "x-y"]) for _ in range(rng.randrange(1, 4)))
+    rules = list({(h, p): (rng.choice(["block", "allow"]), h, p) for h, p in ((host(), path()) for _ in range(120))}.values())
+    made = [(i, f"http://{host()}{path()}") for i in range(300)]
+    got = rows(urls.judge(spark.createDataFrame(made, "page_id long, url string"), urls.rule_table(spark, rules)))
+    assert got == sorted(((i, *brute_url(u, rules)) for i, u in made), key=str)
+
+
 def test_licences(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction."
     made = [
