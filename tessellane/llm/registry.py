@@ -60,4 +60,5 @@ ORACLES: dict[str, str] = {
     "op6_license_scan": licenses.oracle(),
     "op8_source_mix": mixing.ORACLE,
     "op9_url_filter": urls.ORACLE,
+    "op10_embedding_near_duplicates": lattice.ORACLE,
 }

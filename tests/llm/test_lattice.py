@@ -69,7 +69,35 @@ def test_no_links_and_empty(spark):
     assert lattice.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("blocks", "least"), [(1, 0.97), (2, 0.9)])
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_other_ids_and_repeated_ones(spark, kind):
+    a, b = [1.0, 2.0, 3.0], [1.0, 2.0, 3.001]
+    made = [("7", a), ("5", b), ("9", a), ("4", [3.0, -1.0, 0.0]), (None, [9.0, 0.0, 0.0]), (None, [9.0, 0.0, 0.0]), (None, a), ("4", [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in made], "vec_id string, embedding array<double>, label int, kept string").withColumn("vec_id", pytest.importorskip("pyspark.sql.functions").col("vec_id").cast(kind))
+    got = sorted(((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in lattice.near_duplicates(df).collect()))
+    assert got == sorted([("7", 3, "5", False), ("5", 3, "5", True), ("9", 3, "5", False), ("None", 3, "5", False), ("4", 0, "4", True), ("4", 0, "4", True), ("None", 1, "None", True), ("None", 1, "None", True)])
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3, 4])
+def test_every_number_of_blocks_finds_the_links(spark, monkeypatch, blocks):
+    monkeypatch.setattr(lattice, "ONE_BLOCK", 60 / lattice.CELLS_OF_BLOCK ** (blocks - 1) * 1.5)
+    rows = made(4)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert sorted(map(tuple, lattice.near_duplicates(df).collect())) == brute(rows)
+
+
+def test_equals_sql(spark):
+    import duckdb
+
+    from tessellane.llm import registry
+
+    con = duckdb.connect()
+    con.execute("create view embeddings as select * from read_parquet('/root/testdata/sf0.001/embeddings.parquet')")
+    ours = registry.QUERIES["op10_embedding_near_duplicates"](spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, ours.collect())) == sorted(con.execute(registry.ORACLES["op10_embedding_near_duplicates"]).fetchall())
+
+
+@pytest.mark.parametrize(("blocks", "least"), [(1, 0.999), (2, 0.995), (3, 0.995), (4, 0.99)])
 def test_recall_at_the_threshold(blocks, least):
     rng = np.random.default_rng(2)
     a, o = rng.normal(size=(2, 3000, 64))
@@ -78,5 +106,6 @@ def test_recall_at_the_threshold(blocks, least):
     o /= np.linalg.norm(o, axis=1)[:, None]
     b = 0.98 * a + np.sqrt(1 - 0.98**2) * o
     p, q = (lattice.cells(x, np.ones(3000, np.uint64), blocks=blocks) for x in (a, b))
+    assert p.shape[1] == lattice.tables_of(blocks)
     met = ((p == q[:, :, :1]).any(axis=2) | (q == p[:, :, :1]).any(axis=2)).any(axis=1)
     assert met.mean() >= least
