@@ -29,9 +29,9 @@ from tessellane.llm.shared import small_batches, whole_text
 from tessellane.llm.urls import host_of, path_of
 
 #: Characters of HTML in a range on average, and the most ranges; the sample of keys from which ranges are cut.
-RANGE_CHARS, MOST_RANGES, SAMPLE = 16_000_000, 20_000, 200_000
+RANGE_CHARS, MOST_RANGES, SAMPLE = 4_000_000, 20_000, 100_000
 #: Characters of HTML that a task reads on average at most, as long as there are no more than MOST_RANGES tasks.
-TASK_CHARS = 64_000_000
+TASK_CHARS = 16_000_000
 #: A pair is taken for copies of one page only if it shares more than this part of a page's lines, and moreover either more than
 #: this part of both pages' code points or all but ``COPY_REST`` code points (a date, a counter) of each.
 COPY_SHARE = 0.7
@@ -54,6 +54,14 @@ _WORDS_OUT = {
     "menu", "menus", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "sidebars", "footer", "comment", "comments", "commentlist", "respond", "disqus", "share", "sharing", "social", "related", "newsletter",
     "subscribe", "subscription", "signup", "login", "popup", "modal", "overlay", "widget", "pagination", "pager", "search", "toolbar", "topbar", "masthead", "copyright", "skip", "form",
 }
+#: Beside such a word, these leave a name what it is: ``ad-slot`` is an advert, ``ad-hoc`` isn't.
+_WORDS_BESIDE = {
+    "area", "article", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "element", "entry", "first", "fixed", "global", "group", "header", "holder", "icons", "inner", "inline",
+    "item", "items", "js", "last", "left", "level", "link", "links", "list", "main", "mobile", "module", "outer", "page", "pane", "panel", "popular", "post", "posts", "primary", "reader", "region", "right", "row", "secondary",
+    "section", "site", "slot", "space", "sticky", "stories", "sub", "the", "this", "top", "unit", "user", "web", "wide", "wrap", "wrapper", "zone",
+}
+#: Articles of these classes announce other pages.
+_TEASERS = {"card", "excerpt", "preview", "promo", "recommendation", "related", "teaser", "thumbnail", "tile"}
 _ROLES_OUT = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 #: Attributes one after the other, so that words inside a value are no names.
 _NAMED = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -62,6 +70,17 @@ _CACHED = 500
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
+def _is_name_of_other(name: str) -> bool:
+    """Whether a class or id says that an element isn't main text: all its words do, but for some that change nothing."""
+    words = [w for w in _PARTS.split(name) if w and not w.isdigit()]
+    return not _WORDS_OUT.isdisjoint(words) and all(w in _WORDS_OUT or w in _WORDS_BESIDE for w in words)
+
+
+def _attributes(attributes: str) -> Iterator[tuple[str, str]]:
+    for name, a, b, c in _NAMED.findall(attributes):
+        yield name.lower(), (a or b or c).lower()
+
+
 def _names_itself(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether an element names itself as something other than the page's main text."""
     if tag in _OUT:
@@ -70,17 +89,23 @@ def _names_itself(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if not attributes or tag in ("html", "body", "main"):
         return False
-    for name, a, b, c in _NAMED.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
+    for name, value in _attributes(attributes):
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in _ROLES_OUT):
             return True
-        if name in ("class", "id") and not _WORDS_OUT.isdisjoint(_PARTS.split(value)):
-            return True
-        if name in ("class", "id") and not in_article and tag != "article" and "header" in _PARTS.split(value):
-            return True
+        if name in ("class", "id"):
+            names = value.split()
+            if any(map(_is_name_of_other, names)):
+                return True
+            if not in_article and tag != "article" and any("header" in _PARTS.split(n) for n in names):
+                return True
     return False
 
 
+def _announces(attributes: str) -> bool:
+    """Whether an article's classes say that it only announces another page."""
+    return any(name == "class" and not _TEASERS.isdisjoint(_PARTS.split(value)) for name, value in _attributes(attributes))
+
+
 _cached = lru_cache(maxsize=4096)(_names_itself)
 
 
@@ -164,7 +189,7 @@ def blocks(page: str) -> tuple[list[str], bool]:
         if not out and _left_out(tag, attributes, level > 0):
             flush()
             out = True
-        if tag == "article":
+        if tag == "article" and not _announces(attributes):
             level = 2
         elif tag == "main":
             level = max(level, 1)

@@ -119,3 +119,52 @@ def test_heavy_boilerplate_is_no_copy(spark):
     assert all(got[k] == "\n\n".join(own(k)) for k in (1, 2, 3))
     assert got[4] == "\n\n".join(["Top line", *story, *own(4)[:1]])  # its only neighbour is an edited copy
     assert got[5] == "\n\n".join([*story, *own(5)[:1]]) and got[6] == "\n\n".join(own(6))
+
+
+@pytest.mark.parametrize("kept", ['<section id="search-results">Kept.</section>', '<p class="ad-hoc">Kept.</p>', '<div class="related-work">Kept.</div>', '<div id="alert-fatigue">Kept.</div>', '<div class="shared note">Kept.</div>'])
+def test_names_that_only_hold_a_word(kept):
+    assert pages.blocks(f"<article>{kept}</article>") == (["Kept."], True)
+
+
+@pytest.mark.parametrize("gone", ['<div class="ad-slot x">No.</div>', '<div id="comments">No.</div>', '<div class="share-buttons">No.</div>', '<ul class="x main-nav">No.</ul>', '<div class="post-comments-2">No.</div>'])
+def test_names_of_other_parts(gone):
+    assert pages.blocks(f"<article>Kept.{gone}</article>") == (["Kept."], True)
+
+
+def test_teasers_mark_no_main_text():
+    assert pages.blocks('<p>Main.</p><article class="teaser">Other.</article>') == (["Main.", "Other."], False)
+    assert pages.blocks('<article class="post">Main.</article><article class="card teaser">Other.</article>') == (["Main."], True)
+
+
+def composed(rng):
+    """A page of known main text: blocks of an article between, around and inside boilerplate."""
+    import html as entities
+
+    words = lambda n: " ".join(rng.choice(["alpha", "b&c", "<x>", "d'e", "é", "漢字", "f;", "&amp;"]) for _ in range(n))
+    loose = lambda t: "".join(c if c != " " else rng.choice([" ", "\n", "  ", "\t ", "<b> </b>"]) for c in t)
+
+    def shown(text):
+        cut = entities.escape(text, quote=rng.random() < 0.5)
+        return loose(cut) if rng.random() < 0.5 else cut
+
+    def other():
+        body = rng.choice([f"<p>{words(3).replace('<x>', '')}", "<ul><li>a<li>b</ul>", "<a href='/x'>more</a>"])
+        return rng.choice([
+            f"<nav>{body}</nav>", f"<div class='x{'y' * 600} ad'>{body}</div>", f"<div style='{'s' * 700}' class=\"cookie-notice\">{body}</div>", f"<aside>{body}</aside>", f"<form>{body}</form>",
+            "<script>if (a < b) { '<p>' }</script>", "<style>p{}</style>", "<!-- <p>no</p> -->", f"<section id=comments>{body}</section>", f"<footer>{body}</footer>",
+        ])
+
+    main, truth = "", []
+    for _ in range(rng.randrange(1, 7)):
+        text = words(rng.randrange(1, 9))
+        tag = rng.choice(["p", "h2", "blockquote", "pre", "div"])
+        main += (other() if rng.random() < 0.4 else "") + f"<{tag}>{shown(text)}" + ("" if tag == "p" and rng.random() < 0.5 else f"</{tag}>")
+        truth.append(text)
+    return f"<html><body>{other()}<header>{other()}</header><article>{main}</article>{other()}</body></html>", truth
+
+
+def test_composed_pages_come_back():
+    rng = random.Random(21)
+    for _ in range(400):
+        page, truth = composed(rng)
+        assert pages.blocks(page) == (truth, True), page
