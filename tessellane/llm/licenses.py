@@ -6,8 +6,7 @@ so nothing is shuffled. The sentences and rules are tables of this module (at mo
 putting them into the plan has a fixed bound.
 
 A single line break inside a paragraph is white space where that makes a known sentence, and a sentence's end otherwise, so both
-line-wrapped licences and notices of a line each are found. The SQL twin knows ``SENTENCES`` and ``RULES`` only and ends a
-sentence at every line break: it is that of texts without line-wrapped or full licence sentences.
+line-wrapped licences and notices of a line each are found.
 """
 
 from __future__ import annotations
@@ -18,7 +17,8 @@ from pyspark.sql import functions as F
 from tessellane.llm.shared import whole_text
 
 MOST_SENTENCES = 1000
-#: Sentence identifier, normalised sentence.
+# Sentences of licences, normalised, and the rules made of them.
+#: Sentence identifier, normalised sentence; sentences of one identifier are forms of one sentence.
 SENTENCES = (
     ("ap1", "licensed under the apache license version 2 0"),
     ("ap2", "you may not use this file except in compliance with the license"),
@@ -43,8 +43,46 @@ SENTENCES = (
     ("cc4", "licensed under cc by nd 4 0"),
     ("cc5", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("ar1", "all rights reserved"),
+    ("ap5", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("gt1", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gt2", "the precise terms and conditions for copying distribution and modification follow"),
+    ("mi2", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mi4", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("bs4", "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("gp6", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gp7", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation"),
+    ("gt3", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gt4", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("lg1", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lg2", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("lg3", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("ag1", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("ag2", "you should have received a copy of the gnu affero general public license along with this program"),
+    ("mp1", "this source code form is subject to the terms of the mozilla public license v"),
+    ("mp2", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("mp2", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    ("is1", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("is1", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("is2", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("un1", "this is free and unencumbered software released into the public domain"),
+    ("un2", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("cz1", "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+    ("cz2", "this software is distributed without any warranty"),
+    ("zl1", "this software is provided as is without any express or implied warranty"),
+    ("zl2", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zl3", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("ep1", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"),
+    ("bo1", "distributed under the boost software license version 1 0"),
+    ("bo2", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("wt1", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("at1", "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document"),
+    ("at2", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form"),
+    ("cc6", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc7", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc8", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc9", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
 )
-#: Rule name, licence, the sentences that have to follow each other among the known ones.
+#: Rule name, licence, the sentences that have to follow each other among the known ones; rules of one name are forms of one rule.
 RULES = (
     ("apache-2.0.notice", "Apache-2.0", ("ap1",)),
     ("apache-2.0.header", "Apache-2.0", ("ap1", "ap2", "ap3", "ap4")),
@@ -61,24 +99,33 @@ RULES = (
     ("cc-by-nd-4.0.notice", "CC-BY-ND-4.0", ("cc4",)),
     ("cc-by-4.0.deed", "CC-BY-4.0", ("cc5",)),
     ("all-rights-reserved", "proprietary", ("ar1",)),
-)
-#: The sentences of the licence texts themselves; an identifier of ``SENTENCES`` here is a second form of the same sentence.
-FULL = (
-    ("ap5", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
-    ("gt1", "the gnu general public license is a free copyleft license for software and other kinds of works"),
-    ("gt2", "the precise terms and conditions for copying distribution and modification follow"),
-    ("mi2", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
-    ("mi4", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
-    ("bs4", "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-)
-#: Further sequences of rules (of ``RULES``, where the name is the same): those of the full texts.
-FULL_RULES = (
     ("apache-2.0.notice", "Apache-2.0", ("ap5",)),
     ("apache-2.0.header", "Apache-2.0", ("ap5", "ap3", "ap4")),
     ("gpl-3.0.text", "GPL-3.0", ("gt1", "gt2")),
     ("gpl-3.0.text", "GPL-3.0", ("gt1", "gt2", "gp3", "gp4", "gp5")),
     ("bsd-2-clause.text", "BSD-2-Clause", ("ar1", "bs1", "bs2", "bs3")),
     ("bsd-3-clause.text", "BSD-3-Clause", ("ar1", "bs1", "bs2", "bs3", "bs4")),
+    ("gpl-2.0.header", "GPL-2.0-or-later", ("gp6", "gp4")),
+    ("gpl-2.0-only.header", "GPL-2.0-only", ("gp7",)),
+    ("gpl-2.0.text", "GPL-2.0", ("gt3", "gt4")),
+    ("gpl-3.0.text", "GPL-3.0", ("gt3", "gt1")),
+    ("lgpl-2.1.header", "LGPL-2.1-or-later", ("lg1", "lg2")),
+    ("lgpl-3.0.header", "LGPL-3.0-or-later", ("lg3", "gp4")),
+    ("agpl-3.0.header", "AGPL-3.0-or-later", ("ag1", "gp4", "ag2")),
+    ("mpl-2.0.header", "MPL-2.0", ("mp1", "mp2")),
+    ("isc.text", "ISC", ("is1", "is2")),
+    ("unlicense.text", "Unlicense", ("un1", "un2")),
+    ("cc0-1.0.dedication", "CC0-1.0", ("cz1", "cz2")),
+    ("zlib.text", "Zlib", ("zl1", "zl2", "zl3")),
+    ("epl-2.0.header", "EPL-2.0", ("ep1",)),
+    ("bsl-1.0.notice", "BSL-1.0", ("bo1",)),
+    ("bsl-1.0.text", "BSL-1.0", ("bo2",)),
+    ("wtfpl.text", "WTFPL", ("wt1",)),
+    ("apache-2.0.text", "Apache-2.0", ("at1", "at2")),
+    ("cc-by-sa-4.0.deed", "CC-BY-SA-4.0", ("cc6",)),
+    ("cc-by-nc-4.0.deed", "CC-BY-NC-4.0", ("cc7",)),
+    ("cc-by-nc-sa-4.0.deed", "CC-BY-NC-SA-4.0", ("cc8",)),
+    ("cc-by-nd-4.0.deed", "CC-BY-ND-4.0", ("cc9",)),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -109,7 +156,7 @@ def _covers(longer: tuple[str, ...], shorter: tuple[str, ...]) -> bool:
     return len(longer) > len(shorter) and f",{','.join(shorter)}," in f",{','.join(longer)},"
 
 
-def scan(docs: DataFrame, known=SENTENCES + FULL, rules=RULES + FULL_RULES, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known=SENTENCES, rules=RULES, text: str = "text") -> DataFrame:
     """One row a document: doc_id, n_sentences (known ones), sentence_ids (in text order), rules, licenses.
 
     The last three are comma-joined. A rule matches if its sentences follow each other in the sequence of known
@@ -140,19 +187,24 @@ def scan(docs: DataFrame, known=SENTENCES + FULL, rules=RULES + FULL_RULES, text
 
 
 def oracle(known=SENTENCES, rules=RULES) -> str:
+    """The scan in SQL. Its regular expressions can't look ahead, so each mark is doubled: one ends a sentence, one begins the next."""
     pairs = ", ".join(f"('{i}', '{s}')" for i, s in known)
-    cond = {n: f"contains(ids, ',{','.join(q)},')" for n, _, q in rules}
-    hit = {n: " AND ".join([cond[n], *(f"NOT {cond[o]}" for o, _, longer in rules if _covers(longer, q))]) for n, _, q in rules}
-    names = ", ".join(f"CASE WHEN {hit[n]} THEN '{n}' END" for n, _, _ in rules)
-    lics = ", ".join(f"CASE WHEN {hit[n]} THEN '{lic}' END" for n, lic, _ in rules)
+    forms = "|".join(s.replace(" ", "(?: |LL)") for s in sorted((s for _, s in known), key=lambda s: (-len(s), s)))
+    cond = {q: f"contains(ids, ',{','.join(q)},')" for _, _, q in rules}
+    hits: dict[tuple[str, str], list[str]] = {}
+    for name, licence, q in rules:
+        hits.setdefault((name, licence), []).append("(" + " AND ".join([cond[q], *(f"NOT {cond[longer]}" for longer in cond if _covers(longer, q))]) + ")")
+    names = ", ".join(f"CASE WHEN {' OR '.join(h)} THEN '{n}' END" for (n, _), h in hits.items())
+    lics = ", ".join(f"CASE WHEN {' OR '.join(h)} THEN '{lic}' END" for (_, lic), h in hits.items())
     return rf"""
 WITH known(id, sentence) AS (VALUES {pairs}),
-docs AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
-cut AS (
-  SELECT rn, doc_id, regexp_split_to_array(translate(text, '{_UPPER}', '{_LOWER}'), '[.!?]+[ \t]+|[.!?]*[\r\n]+') AS parts FROM docs),
+docs AS (SELECT row_number() OVER () AS rn, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+m1 AS (SELECT rn, doc_id, regexp_replace(regexp_replace(t, '[.!?]([ \t\r\n])', 'S\1', 'g'), '(?:\r\n?|\n)[ \t]*\(?(?:[0-9]{{1,3}}|[a-z])\)([ \t])', 'S\1', 'g') AS t FROM docs),
+m2 AS (SELECT rn, doc_id, regexp_replace(regexp_replace(t, '\r\n?|\n', 'L', 'g'), '[^a-z0-9SL]+', ' ', 'g') AS t FROM m1),
+m3 AS (SELECT rn, doc_id, regexp_replace('S' || trim(regexp_replace(t, ' ?([SL]) ?', '\1', 'g')) || 'S', '[SL]{{2,}}', 'S', 'g') AS t FROM m2),
+cut AS (SELECT rn, doc_id, regexp_extract_all(regexp_replace(t, '([SL])', '\1\1', 'g'), '[SL](?:{forms})[SL]') AS parts FROM m3),
 lines AS (SELECT rn, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM cut),
-hits AS (
-  SELECT rn, pos, id FROM (SELECT rn, pos, trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) AS s FROM lines) l JOIN known k ON l.s = k.sentence),
+hits AS (SELECT rn, pos, id FROM (SELECT rn, pos, replace(part[2:-2], 'LL', ' ') AS s FROM lines) l JOIN known k ON l.s = k.sentence),
 seqs AS (SELECT rn, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS seq FROM hits GROUP BY rn),
 rows_ AS (SELECT d.doc_id, coalesce(n, 0) AS n_sentences, coalesce(seq, '') AS sentence_ids, ',' || coalesce(seq, '') || ',' AS ids FROM docs d LEFT JOIN seqs USING (rn))
 SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences, sentence_ids,

@@ -192,9 +192,98 @@ def test_wrapped_licence_texts(spark):
         (1, MIT), (2, APACHE), (3, GPL), (4, BSD), (5, MIT.replace("\n", "\r\n")), (6, comment), (7, BSD.replace("1. ", "(1) ").replace("2. ", "(2) ")),
         (8, unwrap(MIT)), (9, unwrap(APACHE)), (10, "Released under\n\nthe MIT License."), (11, "Released under\nthe MIT License.\nMore"), (12, "Not released under the MIT License."),
     ]
-    got = {r.doc_id: (r.sentence_ids, r.rules, r.licenses) for r in licenses.scan(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r.doc_id: (r.sentence_ids, r.rules, r.licenses) for r in licenses.scan(docs).collect()}
+    assert rows(licenses.scan(docs)) == sorted(map(tuple, twin(licenses.oracle(), documents=docs).fetchall()), key=str)
     mit, apache, bsd = ("mi2,mi3,mi4", "mit.text", "MIT"), ("ap5,ap3,ap4", "apache-2.0.header", "Apache-2.0"), ("ar1,bs1,bs2,bs3", "bsd-2-clause.text", "BSD-2-Clause")
     assert got[1] == got[5] == mit and got[2] == got[6] == apache and got[4] == got[7] == bsd
     assert got[3] == ("gp3,gp4,gp5", "gpl-3.0.header", "GPL-3.0-or-later")
     assert got[8] == mit and got[9] == apache
     assert got[10] == got[12] == ("", "", "") and got[11] == ("mi1", "mit.notice", "MIT")
+
+
+#: As they stand in the heads of files.
+HEADERS = {
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program; if not, write to the Free Software
+Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301, USA.""",
+    "GPL-2.0-only": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU Affero General Public License for more details.
+
+You should have received a copy of the GNU Affero General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+    "CC0-1.0": """To the extent possible under law, the author(s) have dedicated all copyright
+and related and neighboring rights to this software to the public domain
+worldwide. This software is distributed without any warranty.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented.""",
+    "EPL-2.0": """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/
+
+SPDX-License-Identifier: EPL-2.0""",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt)",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0\nInternational License.",
+}
+
+
+def test_headers_of_many_licences(spark):
+    shapes = [lambda t: t, lambda t: "\n".join(f"# {x}".rstrip() for x in t.split("\n")), lambda t: "/*\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n */\n", lambda t: "Some words before.\n\n" + t + "\n\nMore words after."]
+    shapes.append(lambda t: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n")))
+    made = [(i, k, shape(t)) for i, (k, t, shape) in enumerate((k, t, shape) for k, t in HEADERS.items() for shape in shapes)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in made], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan(docs).collect()}
+    assert got == {i: k for i, k, _ in made}
+    assert rows(licenses.scan(docs)) == sorted(map(tuple, twin(licenses.oracle(), documents=docs).fetchall()), key=str)
