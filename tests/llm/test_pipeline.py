@@ -115,3 +115,63 @@ def test_run_is_the_stages(spark, tables):
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, last[cols].to_numpy())) == sorted(map(tuple, whole[cols].to_numpy()))
     assert (whole.groupby("sequence_id").length.sum() <= 1024).all()
+
+
+def brute_loss(model, texts, labels):
+    """Mean logistic loss, place by place and filter by filter."""
+    total = 0.0
+    for text, label in zip(texts, labels, strict=True):
+        own = toxicity.words(text)
+        own += toxicity._PAD[: max(0, max(toxicity.WIDTHS) - len(own))]
+        emb = [sum(model.table[b] for b in toxicity.buckets(w)) for w in own]
+        z, m = model.out_bias, 0
+        for i, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                places = [sum(float(emb[s + k] @ model.filters[m + k][:, f]) for k in range(width)) for s in range(len(own) - width + 1)]
+                z += np.tanh(max(places) + model.bias[i, f]) * model.out[i, f]
+            m += width
+        p = 1 / (1 + np.exp(-z))
+        total -= label * np.log(p) + (1 - label) * np.log(1 - p)
+    return total / len(texts)
+
+
+def test_gradients_equal_differences():
+    texts = ["one two three two one", "four", "", "five one nine ten two two", "a longer text with more words in it than all the others have"]
+    labels = np.array([1.0, 0.0, 0.0, 1.0, 1.0])
+    model = toxicity.fresh(3)
+    for name in ("table", "filters", "bias", "out"):
+        setattr(model, name, getattr(model, name).astype(np.float64) * (100 if name == "table" else 1))
+    corpus = toxicity.Corpus(texts)
+    grads, d_ob, rows, of_table = toxicity.gradients(model, corpus, np.arange(5), labels)
+    logits = [toxicity.Scorer(model).logit(t) for t in texts]
+    assert abs(brute_loss(model, texts, labels) - np.mean(np.log1p(np.exp(np.where(labels == 1, -1, 1) * logits)))) < 1e-5
+    rng, step = np.random.default_rng(0), 1e-5
+
+    def slope(array, at):
+        was = array[at]
+        array[at] = was + step
+        up = brute_loss(model, texts, labels)
+        array[at] = was - step
+        down = brute_loss(model, texts, labels)
+        array[at] = was
+        return (up - down) / (2 * step)
+
+    for name in ("filters", "bias", "out"):
+        array = getattr(model, name)
+        for _ in range(12):
+            at = tuple(int(rng.integers(n)) for n in array.shape)
+            assert abs(slope(array, at) - grads[name][at]) < 1e-6, (name, at)
+    for k in rng.choice(len(rows), 20, replace=False):
+        at = (int(rows[k]), int(rng.integers(toxicity.SIZE)))
+        assert abs(slope(model.table, at) - of_table[k, at[1]]) < 1e-6
+    bias, model.out_bias = model.out_bias, model.out_bias + step
+    up, model.out_bias = brute_loss(model, texts, labels), bias - step
+    assert abs((up - brute_loss(model, texts, labels)) / (2 * step) - d_ob) < 1e-6
+
+
+def test_cross_validation_sees_training_rows_only():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["plain", "words", "here", "and", "there"], 6)) + (" vile" if i % 2 else "") for i in range(90)]
+    labels = np.array([i % 2 for i in range(90)], np.float32)
+    assert toxicity.cross_validated(texts, labels, epochs=4) > 0.9
+    assert toxicity.cross_validated(texts, rng.permutation(labels), epochs=4) < 0.75
