@@ -1,27 +1,134 @@
-"""Index tables that are made once and read by many queries."""
+"""A lexical index: made once from a corpus, read by many searches.
+
+The index is forward: a row a chunk with its distinct terms, how often each occurs, and the lengths of its vectors. It is made
+in one pass without a shuffle; only document frequencies and vector lengths need one. Searches read it in one pass.
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessellane.operators.retrieval import corpus_stats, doc_freq, postings, tokens
+from tessellane.operators.retrieval import tokens
 
 _FALLBACK_DIR = "/tmp/checkpoints/tessellane"
+_PREFIX = "tessellane-index-"
+
+
+def working_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own where that is unset and the master is local."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or _FALLBACK_DIR).rstrip("/")
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the folder that driver and executors share, and read back."""
     spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or _FALLBACK_DIR
-    path = f"{root.rstrip('/')}/index-{name}-{uuid.uuid4().hex}"
+    path = f"{working_dir(spark)}/{_PREFIX}{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def build(corpus: DataFrame, tokenizer: str = "lab") -> dict[str, DataFrame]:
-    """The tables of a lexical index: chunks (with tokens), postings, terms, stats. Save them with ``sources.sinks.save_index``."""
-    tokenized = materialized(tokens(corpus, tokenizer), "tokens")
-    rows = materialized(postings(tokenized), "postings")
-    return {"chunks": tokenized, "postings": rows, "terms": doc_freq(rows), "stats": corpus_stats(tokenized)}
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``materialized`` once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName().startswith(_PREFIX):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@dataclass
+class Index:
+    """``chunks``: chunk_id, length, terms, counts, norm (null without ``kind``); ``terms``: term, df, in_vectors; n chunks of ``mean_length`` tokens."""
+
+    chunks: DataFrame
+    terms: DataFrame
+    n: int
+    mean_length: float
+    tokenizer: str
+    kind: str | None = None
+    vocabulary: int | None = None
+
+    def discard(self) -> None:
+        discard(self.chunks, self.terms)
+
+    def statistics(self) -> DataFrame:
+        """One row: chunks, terms, tokens, mean_length."""
+        words = self.terms.agg(F.count("*").alias("terms"))
+        return self.chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).crossJoin(words).withColumn("mean_length", F.lit(self.mean_length))
+
+
+def forward(corpus: DataFrame, tokenizer: str = "lab", key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """chunk_id, length, terms, counts: the distinct tokens of each text and how often each occurs; no shuffle."""
+    kind = corpus.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            lengths = np.diff(column.offsets.to_numpy()).astype(np.int64)
+            flat = column.flatten().dictionary_encode()
+            words, codes = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            rows = np.repeat(np.arange(len(lengths)), lengths)
+            pairs, counts = np.unique(rows * max(len(words), 1) + codes, return_counts=True)
+            at = np.searchsorted(pairs // max(len(words), 1), np.arange(len(lengths) + 1)).astype(np.int32)
+            terms = pa.ListArray.from_arrays(pa.array(at), words.take(pa.array(pairs % max(len(words), 1))))
+            yield pa.record_batch([batch.column(0), pa.array(lengths), terms, pa.ListArray.from_arrays(pa.array(at), pa.array(counts.astype(np.int32)))], ["chunk_id", "length", "terms", "counts"])
+
+    return tokens(corpus, tokenizer, key, text).mapInArrow(run, f"chunk_id {kind}, length long, terms array<string>, counts array<int>")
+
+
+def weight(kind: str, tf, df, n):
+    """``lab`` (1 + ln tf)(ln((N+1)/(df+1)) + 1), ``pro`` tf(1 + ln((N+1)/(df+1)))."""
+    return (1 + F.log(tf) if kind == "lab" else tf) * (1 + F.log((n + 1) / (df + 1)))
+
+
+def build(corpus: DataFrame, tokenizer: str = "lab", kind: str | None = None, vocabulary: int | None = None, key: str = "chunk_id") -> Index:
+    """The index of ``corpus`` (chunk_id, text). ``kind`` (lab, pro) adds the lengths of TF-IDF vectors over the ``vocabulary`` most
+    frequent terms (all, if it is None)."""
+    rows = materialized(forward(corpus, tokenizer, key), "chunks")
+    return _complete(rows, tokenizer, kind, vocabulary)
+
+
+def scoped(index: Index, chunk_ids: DataFrame, vectors: bool = True) -> Index:
+    """The index of some chunks only (chunk_id), with statistics of those; without ``vectors`` for BM25 alone."""
+    rows = index.chunks.drop("norm").join(chunk_ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return _complete(rows, index.tokenizer, index.kind if vectors else None, index.vocabulary)
+
+
+def is_there(index: Index) -> bool:
+    """Whether the files of an index are still in the shared folder."""
+    spark = index.chunks.sparkSession
+    for file in (*index.chunks.inputFiles()[:1], *index.terms.inputFiles()[:1]):
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return False
+    return True
+
+
+def _complete(rows: DataFrame, tokenizer: str, kind: str | None, vocabulary: int | None) -> Index:
+    terms = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    if kind and vocabulary:
+        terms = materialized(terms, "all-terms")
+        most = terms.orderBy(F.col("df").desc(), "term").limit(vocabulary).select("term", F.lit(True).alias("in_vectors"))
+        terms = terms.join(most, "term", "left").fillna(False, ["in_vectors"])
+    else:
+        terms = terms.withColumn("in_vectors", F.lit(True))
+    terms = materialized(terms, "terms")
+    stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    n, mean = stats["n"], stats["mean"] or 1.0
+    if not kind:
+        return Index(rows.withColumn("norm", F.lit(None).cast("double")), terms, n, mean, tokenizer)
+    postings = rows.select("chunk_id", F.explode(F.arrays_zip("terms", "counts")).alias("p")).select("chunk_id", F.col("p.terms").alias("term"), F.col("p.counts").alias("tf"))
+    w = weight(kind, F.col("tf"), F.col("df"), F.lit(n))
+    norms = postings.join(terms.where("in_vectors"), "term").groupBy("chunk_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    return Index(materialized(rows.join(norms, "chunk_id", "left"), "norms"), terms, n, mean, tokenizer, kind, vocabulary)

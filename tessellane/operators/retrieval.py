@@ -10,12 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellane.functions.numeric import bm25, cosine, crc_bucket, crc_sign, fnv1a, idf_bm25, norm
+from tessellane.functions.numeric import bm25, crc_bucket, crc_sign, fnv1a, idf_bm25
 from tessellane.functions.text import TOKENIZERS, feat_kit
 
 RANK_DIGITS = 9
-#: Question vectors that are compared with the corpus in one scan of it.
-BLOCK = 512
 
 
 def tokens(corpus: DataFrame, tokenizer: str = "lab", key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -116,41 +114,60 @@ def sparse_cosine(docs: DataFrame, asked: DataFrame) -> DataFrame:
     doc_norm = docs.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
     ask_norm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
     products = docs.join(asked.withColumnRenamed("w", "qw"), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    joined = products.join(doc_norm, "chunk_id").join(F.broadcast(ask_norm), "query_id")
+    joined = products.join(doc_norm, "chunk_id").join(ask_norm, "query_id")
     return joined.where("dn > 0 and qn > 0").select("query_id", "chunk_id", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score"))
 
 
 def hashed_tfidf(corpus: DataFrame, buckets: int = 4096, n: int = 2) -> DataFrame:
     """chunk_id, idx, w: (1 + ln tf)(ln((N+1)/(df+1)) + 1) added up in FNV buckets."""
-    tokenized = corpus.select("chunk_id", feat_kit(F.coalesce(F.col("text"), F.lit("")), n).alias("tokens"))
+    return _hashed_vectors(corpus, None, buckets, n)[0]
+
+
+def _hashed_vectors(corpus: DataFrame, queries: DataFrame | None, buckets: int, n: int) -> tuple[DataFrame, DataFrame | None]:
+    features = lambda df, key: df.select(key, feat_kit(F.coalesce(F.col("text"), F.lit("")), n).alias("tokens"))
+    tokenized = features(corpus, "chunk_id")
     tf = postings(tokenized)
-    df = doc_freq(tf).crossJoin(F.broadcast(tokenized.agg(F.count("*").alias("n")))).withColumn("idx", fnv1a(F.col("term")) % buckets)
-    w = (1 + F.log("tf")) * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
-    return tf.join(df, "term").groupBy("chunk_id", "idx").agg(F.sum(w).alias("w"))
+    total = tokenized.agg(F.count("*").alias("n"))
+    frequencies = doc_freq(tf)
+
+    def vectors(rows: DataFrame, key: str) -> DataFrame:
+        known = rows.join(frequencies, "term", "left").fillna(0, ["df"]).crossJoin(F.broadcast(total))
+        w = (1 + F.log("tf")) * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
+        return known.groupBy(key, (fnv1a(F.col("term")) % buckets).alias("idx")).agg(F.sum(w).alias("w"))
+
+    return vectors(tf, "chunk_id"), None if queries is None else vectors(postings(features(queries, "query_id"), "query_id"), "query_id")
+
+
+def hashed_search(corpus: DataFrame, queries: DataFrame, buckets: int = 4096, n: int = 2) -> DataFrame:
+    """query_id, chunk_id, score: cosine of FNV-hashed vectors; question terms that the corpus lacks have a frequency of 0."""
+    docs, asked = _hashed_vectors(corpus, queries, buckets, n)
+    return sparse_cosine(docs.withColumnRenamed("idx", "term"), asked.withColumnRenamed("idx", "term"))
 
 
 def hash_embedding(corpus: DataFrame, buckets: int = 2048, tokenizer: str = "easy") -> DataFrame:
     """chunk_id, idx, w: signed CRC buckets of (1 + ln tf) idf, of length 1."""
+    return _embedded(corpus, None, buckets, tokenizer)[0]
+
+
+def _embedded(corpus: DataFrame, queries: DataFrame | None, buckets: int, tokenizer: str) -> tuple[DataFrame, DataFrame | None]:
     tokenized = tokens(corpus, tokenizer)
     tf = postings(tokenized)
+    # A term that the corpus lacks weighs nothing, so the inner join leaves it out.
     df = doc_freq(tf).crossJoin(F.broadcast(tokenized.agg(F.count("*").alias("n"))))
     df = df.select("term", crc_bucket(F.col("term"), buckets).alias("idx"), (crc_sign(F.col("term")) * idf_bm25(F.col("n"), F.col("df"))).alias("signed"))
-    raw = tf.join(df, "term").groupBy("chunk_id", "idx").agg(F.sum((1 + F.log("tf")) * F.col("signed")).alias("w"))
-    length = raw.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    return raw.join(length, "chunk_id").where("dn > 0").select("chunk_id", "idx", (F.col("w") / F.col("dn")).alias("w"))
 
+    def vectors(rows: DataFrame, key: str) -> DataFrame:
+        raw = rows.join(df, "term").groupBy(key, "idx").agg(F.sum((1 + F.log("tf")) * F.col("signed")).alias("w"))
+        length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
+        return raw.join(length, key).where("dn > 0").select(key, "idx", (F.col("w") / F.col("dn")).alias("w"))
 
-def dense_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score: cosine of every question vector with every chunk vector, questions in blocks.
+    return vectors(tf, "chunk_id"), None if queries is None else vectors(postings(tokens(queries, tokenizer, "query_id"), "query_id"), "query_id")
 
-    ``vectors`` (chunk_id, vec), ``queries`` (query_id, vec). The stated question set is gathered into arrays of
-    about ``BLOCK``, so it is a scan of the vectors for each block and no side is repeated row by row.
-    """
-    n_blocks = max(1, -(-queries.count() // BLOCK))
-    blocks = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block"), F.struct("query_id", F.col("vec").alias("q"), norm(F.col("vec")).alias("qn")).alias("asked"))
-    grouped = blocks.groupBy("block").agg(F.collect_list("asked").alias("asked")).drop("block")
-    pairs = vectors.join(grouped).select("chunk_id", "vec", F.explode("asked").alias("a"))
-    return pairs.select(F.col("a.query_id").alias("query_id"), "chunk_id", cosine(F.col("vec"), F.col("a.q")).alias("score"))
+
+def embedding_search(corpus: DataFrame, queries: DataFrame, buckets: int = 2048, tokenizer: str = "easy") -> DataFrame:
+    """query_id, chunk_id, score: inner product of signed hashed embeddings of length 1, of pairs that share a bucket."""
+    docs, asked = _embedded(corpus, queries, buckets, tokenizer)
+    return docs.join(asked.withColumnRenamed("w", "qw"), "idx").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
 
 
 def fused(channels: list[DataFrame], k: int = 60, key: str = "chunk_id", rank: str = "rank") -> DataFrame:
@@ -163,25 +180,41 @@ def fused(channels: list[DataFrame], k: int = 60, key: str = "chunk_id", rank: s
     return rows.groupBy("query_id", key).agg(F.sum(1.0 / (k + F.col("r"))).alias("score"), *ranks)
 
 
-def hybrid(corpus: DataFrame, queries: DataFrame, top_k: int = 4, mode: str = "hybrid", tokenizer: str = "lab", k: int = 60) -> DataFrame:
-    """Scoped retrieval: gate, BM25 and TF-IDF channels of max(4 top_k, 20) ranks, fused by rank.
+#: Candidates of a channel before fusion, by profile; ``None`` is all.
+POOLS = {
+    "pro": lambda top_k: (20, 20), "easy": lambda top_k: (20, 20), "kit": lambda top_k: (max(5 * top_k, 20), None), "lab": lambda top_k: (max(4 * top_k, 20),) * 2,
+}
 
-    Returns query_id, chunk_id, score, bm25_rank, vector_rank, rank; ``mode`` is hybrid, bm25 or vector.
-    """
+
+def checked_mode(mode: str, top_k: int) -> int:
+    """The candidate pool of scoped retrieval."""
     if mode not in ("hybrid", "bm25", "vector"):
         raise ValueError(f"unknown mode {mode}")
     if not 1 <= top_k <= 12:
         raise ValueError("top_k must be 1 to 12")
-    pool = max(4 * top_k, 20)
-    gate = lexical_gate(corpus, queries, tokenizer)
-    lexical = ranked(bm25_scores(corpus, queries, tokenizer).join(gate, ["query_id", "chunk_id"], "left_semi"), pool)
-    if mode == "bm25":
-        return lexical.where(F.col("rank") <= top_k).select("query_id", "chunk_id", "score", F.col("rank").alias("bm25_rank"), F.lit(None).cast("int").alias("vector_rank"), "rank")
-    vector = ranked(tfidf_cosine(corpus, queries, tokenizer).join(gate, ["query_id", "chunk_id"], "left_semi"), pool)
-    if mode == "vector":
-        return vector.where(F.col("rank") <= top_k).select("query_id", "chunk_id", "score", F.lit(None).cast("int").alias("bm25_rank"), F.col("rank").alias("vector_rank"), "rank")
-    both = fused([lexical, vector], k).withColumnsRenamed({"rank_1": "bm25_rank", "rank_2": "vector_rank"})
-    return ranked(both, top_k)
+    return POOLS["lab"](top_k)[0]
+
+
+def checked_questions(queries: DataFrame, longest: int = 2000) -> DataFrame:
+    """``queries``; reading it fails where a question is blank or longer than ``longest`` characters."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    fine = (F.trim(text) != "") & (F.length(text) <= longest)
+    return queries.withColumn("text", F.when(fine, text).otherwise(F.raise_error(F.lit(f"a question must have 1 to {longest} characters")).cast("string")))
+
+
+def checked_capacity(chunks: DataFrame, most: int = 3000) -> DataFrame:
+    """``chunks``, or a ValueError if there are more than ``most``; an optional guard for small stores."""
+    if chunks.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} chunks")
+    return chunks
+
+
+def hybrid(corpus: DataFrame, queries: DataFrame, top_k: int = 4, mode: str = "hybrid", tokenizer: str = "lab", k: int = 60) -> DataFrame:
+    """Scoped retrieval from a corpus that has no index yet: see ``search.hybrid``."""
+    from tessellane.operators import index, search
+
+    checked_mode(mode, top_k)
+    return search.hybrid(index.build(corpus, tokenizer, "lab"), queries, top_k, mode, k)
 
 
 def related_terms(corpus: DataFrame, terms: DataFrame, n: int = 5, tokenizer: str = "pro") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellane.functions import numeric, text
-from tessellane.operators import chunking, evaluate, rerank, retrieval, stats, store
+from tessellane.operators import chunking, evaluate, index, rerank, retrieval, search, stats, store
 from tessellane.sources import files
 from tessellane.streaming import counters
 
@@ -43,6 +43,17 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+_INDEXES: dict[tuple, index.Index] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str, tokenizer: str = "lab", kind: str | None = "lab", vocabulary: int | None = None) -> index.Index:
+    """The index of all documents, made by the first query of a session that asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir, tokenizer, kind, vocabulary)
+    if key not in _INDEXES or not index.is_there(_INDEXES[key]):
+        _INDEXES[key] = index.build(corpus(spark, sf_dir), tokenizer, kind, vocabulary)
+    return _INDEXES[key]
+
+
 _STOP = ", ".join(f"'{w}'" for w in text.ENGLISH_STOP)
 TOK = {
     "lab": f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'), lambda w: NOT list_contains([{_STOP}], w))",
@@ -80,8 +91,8 @@ vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 _TOP = "SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM {} WHERE rank <= {}"
 
 
-def top(scores: DataFrame, k: int) -> DataFrame:
-    return retrieval.ranked(scores, k).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+def top(ranked: DataFrame) -> DataFrame:
+    return ranked.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 # Tokens, postings, statistics
@@ -118,23 +129,23 @@ def corpus_stats(spark, sf_dir):
 
 @query(base() + " " + _TOP.format("bmr", 10))
 def bm25_topk(spark, sf_dir):
-    return top(retrieval.bm25_scores(corpus(spark, sf_dir), questions(spark, sf_dir)), 10)
+    return top(search.lexical(indexed(spark, sf_dir), questions(spark, sf_dir), 10))
 
 
 @query(base(docs="(SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))") + " " + _TOP.format("bmr", 5))
 def bm25_scoped(spark, sf_dir):
-    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return top(retrieval.bm25_scores(retrieval.scoped(corpus(spark, sf_dir), good), questions(spark, sf_dir)), 5)
+    good = read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("chunk_id"))
+    return top(search.lexical(index.scoped(indexed(spark, sf_dir), good, vectors=False), questions(spark, sf_dir), 5))
 
 
 @query(base() + tfidf() + " " + _TOP.format("vr", 10))
 def tfidf_topk(spark, sf_dir):
-    return top(retrieval.tfidf_cosine(corpus(spark, sf_dir), questions(spark, sf_dir)), 10)
+    return top(search.lexical(indexed(spark, sf_dir), questions(spark, sf_dir), 10, ("vector",)))
 
 
 @query(base("pro") + tfidf("pro", 4096) + " " + _TOP.format("vr", 10))
 def tfidf_vocabulary_topk(spark, sf_dir):
-    return top(retrieval.tfidf_cosine(corpus(spark, sf_dir), questions(spark, sf_dir), "pro", "pro", 4096), 10)
+    return top(search.lexical(indexed(spark, sf_dir, "pro", "pro", 4096), questions(spark, sf_dir), 10, ("vector",)))
 
 
 _FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, len(hex(encode(term))) + 1, 2), lambda i: ('0x' || hex(encode(term))[i:i+1])::BIGINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
@@ -145,9 +156,36 @@ def fnv_tfidf(spark, sf_dir):
     return retrieval.hashed_tfidf(corpus(spark, sf_dir)).select("chunk_id", "idx", F.round("w", 6).alias("w"))
 
 
-@query()
+@query(base("kit") + f""", ix AS (SELECT term, df, {_FNV} % 4096 AS idx FROM (SELECT term, coalesce(df, 0) AS df FROM (SELECT term FROM tf UNION SELECT term FROM qt) LEFT JOIN df USING (term))),
+dv AS (SELECT chunk_id, idx, sum((1 + ln(tf)) * (1 + ln((n + 1) / (df + 1)))) AS w FROM tf JOIN ix USING (term), st GROUP BY ALL),
+qv AS (SELECT query_id, idx, sum((1 + ln(qtf)) * (1 + ln((n + 1) / (df + 1)))) AS w FROM qt JOIN ix USING (term), st GROUP BY ALL),
+dn AS (SELECT chunk_id, sqrt(sum(w * w)) AS dn FROM dv GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(w * w)) AS qn FROM qv GROUP BY 1),
+vs AS (SELECT query_id, chunk_id, sum(qv.w * dv.w) / any_value(dn) / any_value(qn) AS score FROM qv JOIN dv USING (idx) JOIN dn USING (chunk_id) JOIN qn USING (query_id) GROUP BY 1, 2),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM vs) """ + _TOP.format("vr", 5))
+def fnv_topk(spark, sf_dir):
+    return top(retrieval.ranked(retrieval.hashed_search(corpus(spark, sf_dir), questions(spark, sf_dir)), 5))
+
+
+# CRC-32 byte by byte, from a table of 256 entries that is made here.
+_CRC = """, crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) AS tbl),
+ht AS (SELECT term, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(hex(encode(term))) + 1, 2), lambda i: ('0x' || hex(encode(term))[i:i+1])::BIGINT)),
+  lambda c, b: xor(tbl[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS h FROM (SELECT DISTINCT term FROM df) t, crc),
+hw AS (SELECT ht.term, h % 2048 AS idx, CASE WHEN h & 2 <> 0 THEN 1 ELSE -1 END * ln(1 + (n - df + 0.5) / (df + 0.5)) AS signed FROM ht JOIN df ON ht.term = df.term, st),
+raw AS (SELECT chunk_id, idx, sum((1 + ln(tf)) * signed) AS w FROM tf JOIN hw USING (term) GROUP BY ALL), dl AS (SELECT chunk_id, sqrt(sum(w * w)) AS dn FROM raw GROUP BY 1),
+emb AS (SELECT chunk_id, idx, w / dn AS w FROM raw JOIN dl USING (chunk_id) WHERE dn > 0),
+qraw AS (SELECT query_id, idx, sum((1 + ln(qtf)) * signed) AS w FROM qt JOIN hw USING (term) GROUP BY ALL), ql AS (SELECT query_id, sqrt(sum(w * w)) AS dn FROM qraw GROUP BY 1),
+qemb AS (SELECT query_id, idx, w / dn AS w FROM qraw JOIN ql USING (query_id) WHERE dn > 0)"""
+
+
+@query(base("easy") + _CRC + " SELECT chunk_id, CAST(idx AS BIGINT) AS idx, round(w, 6) AS w FROM emb")
 def hash_embedding(spark, sf_dir):
-    return retrieval.hash_embedding(corpus(spark, sf_dir)).select("chunk_id", "idx", F.round("w", 6).alias("w"))
+    return retrieval.hash_embedding(corpus(spark, sf_dir)).select("chunk_id", F.col("idx").cast("long").alias("idx"), F.round("w", 6).alias("w"))
+
+
+@query(base("easy") + _CRC + """, vs AS (SELECT query_id, chunk_id, sum(q.w * e.w) AS score FROM emb e JOIN qemb q USING (idx) GROUP BY 1, 2),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM vs) """ + _TOP.format("vr", 5))
+def embedding_topk(spark, sf_dir):
+    return top(retrieval.ranked(retrieval.embedding_search(corpus(spark, sf_dir), questions(spark, sf_dir)), 5))
 
 
 _DENSE = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings),
@@ -163,15 +201,14 @@ def _vectors(spark, sf_dir):
 def dense_topk(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     asked = v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vec")
-    return top(retrieval.dense_scores(v.select("chunk_id", "vec"), asked).where("query_id <> chunk_id"), 5)
+    return top(search.dense(v, asked, 5, skip_own=True))
 
 
 @query(_DENSE.format("q.label = d.label") + _TOP.format("r", 5))
 def dense_scoped_topk(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    asked = v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("q"), "label")
-    pairs = v.join(asked, "label").where("query_id <> chunk_id")
-    return top(pairs.select("query_id", "chunk_id", numeric.cosine(F.col("vec"), F.col("q")).alias("score")), 5)
+    asked = v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vec", "label")
+    return top(search.dense(v, asked, 5, scope="label", skip_own=True))
 
 
 _GATE = """, an AS (SELECT query_id, term FROM (SELECT *, max((length(term) >= 2 OR regexp_matches(term, '^[a-z0-9_]+$'))::INT) OVER (PARTITION BY query_id) AS s FROM qt)
@@ -186,19 +223,19 @@ h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 
 @query(_HYBRID + "SELECT query_id, chunk_id, round(score, 6) AS score, bm25_rank, vector_rank, rank FROM h WHERE rank <= 4")
 def hybrid_rrf(spark, sf_dir):
-    got = retrieval.hybrid(corpus(spark, sf_dir), questions(spark, sf_dir), 4)
+    got = search.hybrid(indexed(spark, sf_dir), questions(spark, sf_dir), 4)
     return got.select("query_id", "chunk_id", F.round("score", 6).alias("score"), *[F.col(c).cast("long").alias(c) for c in ("bm25_rank", "vector_rank", "rank")])
 
 
 @query(_HYBRID + "SELECT query_id, chunk_id, r AS rank FROM v WHERE r <= 4")
 def mode_vector(spark, sf_dir):
-    got = retrieval.hybrid(corpus(spark, sf_dir), questions(spark, sf_dir), 4, "vector")
+    got = search.hybrid(indexed(spark, sf_dir), questions(spark, sf_dir), 4, "vector")
     return got.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(_HYBRID + "SELECT query_id, chunk_id, r AS rank FROM b WHERE r <= 4")
 def mode_bm25(spark, sf_dir):
-    got = retrieval.hybrid(corpus(spark, sf_dir), questions(spark, sf_dir), 4, "bm25")
+    got = search.hybrid(indexed(spark, sf_dir), questions(spark, sf_dir), 4, "bm25")
     return got.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -207,41 +244,65 @@ def lexical_gate(spark, sf_dir):
     return retrieval.lexical_gate(corpus(spark, sf_dir), questions(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("n_chunks"))
 
 
-def _parts(spark, sf_dir):
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-
-
-_RELATED = f"""WITH t AS (SELECT p_partkey AS chunk_id, list_distinct({TOK['pro'].replace('text', "p_name || ' ' || p_type")}) AS toks FROM part),
-e AS (SELECT chunk_id, unnest(toks) AS term FROM t),
-c AS (SELECT a.term, b.term AS other, count(*) AS together FROM e a JOIN e b ON a.chunk_id = b.chunk_id AND a.term <> b.term GROUP BY 1, 2)
+_RELATED = base("pro") + """, e AS (SELECT DISTINCT chunk_id, term FROM tf), w AS (SELECT DISTINCT lower(regexp_extract(text, '[a-zA-Z0-9]+')) AS term FROM q),
+c AS (SELECT a.term, b.term AS other, count(*) AS together FROM e a JOIN w ON a.term = w.term JOIN e b ON a.chunk_id = b.chunk_id AND a.term <> b.term GROUP BY 1, 2)
 SELECT term, other, together, rank FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY together DESC, other) AS rank FROM c) WHERE rank <= 5"""
 
 
 @query(_RELATED)
 def related_terms(spark, sf_dir):
-    parts = _parts(spark, sf_dir)
-    every = parts.select(F.explode(text.tok_pro(F.col("text"))).alias("term"))
-    return retrieval.related_terms(parts, every, 5).withColumn("rank", F.col("rank").cast("long"))
-
-
-@query()
+    """Of each passage's first word, in all documents."""
+    first = questions(spark, sf_dir).select(F.lower(F.regexp_extract("text", "[a-zA-Z0-9]+", 0)).alias("term"))
+    return retrieval.related_terms(corpus(spark, sf_dir), first, 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(base("pro") + """, a AS (SELECT item_id AS query_id, string_split(coalesce(text, ''), ' ')[1] || ' ' || string_split(coalesce(text, ''), ' ')[2] AS asked FROM benchmark),
+o AS (SELECT query_id, asked, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM (SELECT query_id, asked, list_transform(regexp_extract_all(asked, '[a-zA-Z0-9]+'), lambda x: lower(x)) AS toks FROM a)),
+e AS (SELECT DISTINCT chunk_id, term FROM tf), w AS (SELECT DISTINCT term FROM o WHERE length(term) > 1),
+c AS (SELECT x.term, y.term AS other, count(*) AS together FROM e x JOIN w ON x.term = w.term JOIN e y ON x.chunk_id = y.chunk_id AND x.term <> y.term GROUP BY 1, 2),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY together DESC, other) AS rank FROM c) WHERE rank <= 4 AND length(other) > 1),
+f AS (SELECT query_id, other, min((pos, rank)) AS place FROM o JOIN r USING (term) WHERE length(term) > 1 GROUP BY 1, 2),
+k AS (SELECT query_id, string_agg(other, ' ' ORDER BY n) AS added FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n FROM f) WHERE n <= 4 GROUP BY 1)
+SELECT query_id, asked || coalesce(' ' || added, '') AS text FROM a LEFT JOIN k USING (query_id)""")
 def expand_query(spark, sf_dir):
-    asked = read(spark, sf_dir, "part").select(F.col("p_type").alias("text")).distinct().select(F.crc32("text").alias("query_id"), "text")
-    return retrieval.expanded(_parts(spark, sf_dir), asked, 4)
+    """The first two words of each passage, with terms of all documents."""
+    parts = F.split("text", " ")
+    asked = questions(spark, sf_dir).select("query_id", F.concat(F.get(parts, F.lit(0)), F.lit(" "), F.get(parts, F.lit(1))).alias("text"))
+    return retrieval.expanded(corpus(spark, sf_dir), asked, 4)
 
 
 # Reranking, selection, packing, answers
 
 
 def candidates(spark, sf_dir, tokenizer: str, k: int = 20) -> DataFrame:
+    """The first ``k`` by BM25 with their texts: query_id, chunk_id, score, rank, text, lang, source, query."""
+    found = search.lexical(indexed(spark, sf_dir, tokenizer, "lab" if tokenizer == "lab" else None), questions(spark, sf_dir), k)
+    return _with_texts(spark, sf_dir, found.drop("channel"))
+
+
+def _with_texts(spark, sf_dir, found: DataFrame) -> DataFrame:
     docs, asked = corpus(spark, sf_dir), questions(spark, sf_dir)
-    best = retrieval.ranked(retrieval.bm25_scores(docs, asked, tokenizer), k)
-    return best.join(docs.select("chunk_id", "text"), "chunk_id").join(asked.withColumnRenamed("text", "query"), "query_id")
+    return found.join(docs.select("chunk_id", "text", "lang", "source"), "chunk_id").join(asked.withColumnRenamed("text", "query"), "query_id")
+
+
+def channels(spark, sf_dir, tokenizer: str, kind: str, vocabulary: int | None = None) -> DataFrame:
+    """The first 20 of either channel: query_id, chunk_id, lexical, vector (0 where a channel hasn't found it), with texts."""
+    both = search.lexical(indexed(spark, sf_dir, tokenizer, kind, vocabulary), questions(spark, sf_dir), 20, ("bm25", "vector"))
+    score = lambda c: F.coalesce(F.max(F.when(F.col("channel") == c, F.col("score"))), F.lit(0.0))
+    return _with_texts(spark, sf_dir, both.groupBy("query_id", "chunk_id").agg(score("bm25").alias("lexical"), score("vector").alias("vector")))
+
 
+_SHARE = """, o AS (SELECT c.*, CASE WHEN len(list_distinct(q.toks)) > 0 THEN len(list_intersect(list_distinct(q.toks), d.toks)) / len(list_distinct(q.toks)) ELSE 0 END AS share,
+  d.text, z.lang, z.source FROM c JOIN d USING (chunk_id) JOIN q USING (query_id) JOIN documents z ON z.doc_id = c.chunk_id) """
 
-def _cover(tok: str) -> str:
-    return f""", c AS (SELECT b.query_id, b.chunk_id, b.score AS base, d.text, q.toks AS qtoks, d.toks AS dtoks FROM bmr b JOIN d USING (chunk_id) JOIN q USING (query_id) WHERE rank <= 20),
-o AS (SELECT *, CASE WHEN len(list_distinct(qtoks)) > 0 THEN len(list_intersect(list_distinct(qtoks), dtoks)) / len(list_distinct(qtoks)) ELSE 0 END AS share FROM c)"""
+
+def _first(tok: str) -> str:
+    return base(tok) + ", c AS (SELECT query_id, chunk_id, score AS base FROM bmr WHERE rank <= 20)" + _SHARE
+
+
+def _both(tok: str, kind: str, vocabulary: int | None = None) -> str:
+    return base(tok) + tfidf(kind, vocabulary) + """, u AS (SELECT query_id, chunk_id, score AS l, NULL AS v FROM bmr WHERE rank <= 20 UNION ALL SELECT query_id, chunk_id, NULL, score FROM vr WHERE rank <= 20),
+c AS (SELECT query_id, chunk_id, coalesce(max(l), 0) AS lexical, coalesce(max(v), 0) AS vector FROM u GROUP BY 1, 2)""" + _SHARE
 
 
 _RANKED = "SELECT query_id, chunk_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS rank FROM ({})"
@@ -251,21 +312,21 @@ def _reranked(df: DataFrame) -> DataFrame:
     return df.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(base("pro") + _cover("pro") + " " + _RANKED.format("SELECT *, 0.35 * CASE WHEN max(base) OVER (PARTITION BY query_id) > 0 THEN greatest(0, base / max(base) OVER (PARTITION BY query_id)) ELSE 0 END + 0.10 / (1 + 0.01 * chunk_id) + 0.20 * share AS s FROM o"))
+@query(_both("pro", "pro", 4096) + _RANKED.format("SELECT *, 0.35 * CASE WHEN max(lexical) OVER w > 0 THEN greatest(0, lexical / max(lexical) OVER w) ELSE 0 END + 0.35 * CASE WHEN max(vector) OVER w > 0 THEN greatest(0, vector / max(vector) OVER w) ELSE 0 END + 0.10 / (1 + 0.01 * chunk_id) + 0.20 * share AS s FROM o WINDOW w AS (PARTITION BY query_id)"))
 def rerank_weighted(spark, sf_dir):
-    found = candidates(spark, sf_dir, "pro").withColumns({"lexical": F.col("score"), "vector": F.lit(0.0), "ordinal": F.col("chunk_id")}).drop("score", "rank")
-    return _reranked(rerank.weighted(found))
+    return _reranked(rerank.weighted(channels(spark, sf_dir, "pro", "pro", 4096).withColumn("ordinal", F.col("chunk_id"))))
 
 
-@query(base("kit") + _cover("kit") + " " + _RANKED.format("SELECT *, base + 0.6 * share - 0.3 * CASE WHEN length(text) = 0 THEN 1 ELSE least(1, abs(log2(length(text) / 300)) / 5) END AS s FROM o"))
+@query(_first("kit") + _RANKED.format("SELECT *, base + 0.6 * share - 0.3 * CASE WHEN length(text) = 0 THEN 1 ELSE least(1, abs(log2(length(text) / 300)) / 5) END + CASE WHEN lang = 'en' AND source <> '' THEN 0.05 ELSE 0 END AS s FROM o"))
 def rerank_coverage(spark, sf_dir):
-    found = candidates(spark, sf_dir, "kit").withColumns({"base": F.col("score"), "heading": F.lit("")}).drop("score", "rank")
+    """English documents have their source for a heading here."""
+    found = candidates(spark, sf_dir, "kit").withColumns({"base": F.col("score"), "heading": F.when(F.col("lang") == "en", F.col("source")).otherwise("")}).drop("score", "rank")
     return _reranked(rerank.covered(found))
 
 
-@query(base("easy") + _cover("easy") + " " + _RANKED.format("SELECT *, 0.7 * share AS s FROM o"))
+@query(_both("easy", "lab") + _RANKED.format("SELECT *, 0.7 * share + 0.3 * greatest(0, vector) AS s FROM o"))
 def rerank_overlap(spark, sf_dir):
-    return _reranked(rerank.overlapped(candidates(spark, sf_dir, "easy").withColumn("cosine", F.lit(0.0)).drop("score", "rank")))
+    return _reranked(rerank.overlapped(channels(spark, sf_dir, "easy", "lab").withColumnRenamed("vector", "cosine")))
 
 
 @query()
@@ -278,7 +339,7 @@ def mmr_select(spark, sf_dir):
 def mmr_cosine_select(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     asked = v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vec")
-    best = retrieval.ranked(retrieval.dense_scores(v.select("chunk_id", "vec"), asked), 15).join(v.select("chunk_id", F.col("vec").cast("array<double>").alias("vec")), "chunk_id")
+    best = search.dense(v, asked, 15).join(v.select("chunk_id", F.col("vec").cast("array<double>").alias("vec")), "chunk_id")
     return rerank.mmr(best.select("query_id", "chunk_id", "score", "vec"), 5, 0.7, "cosine").select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("pick").cast("long").alias("pick"))
 
 
@@ -290,11 +351,9 @@ def pack_break(spark, sf_dir):
 
 def _chunk_hits(spark, sf_dir, k: int = 12) -> DataFrame:
     cut = chunking.chunks(read(spark, sf_dir, "documents"), "lab").select(F.concat_ws("-", "doc_id", "ordinal").alias("chunk_id"), "doc_id", "start", "end", F.col("chunk").alias("text"))
-    from tessellane.operators.index import materialized
-
-    cut = materialized(cut, "chunks")
+    cut = index.materialized(cut, "cut")
     asked = questions(spark, sf_dir)
-    best = retrieval.ranked(retrieval.bm25_scores(cut, asked), k)
+    best = search.lexical(index.build(cut), asked, k).drop("channel")
     return best.join(cut, "chunk_id").join(asked.withColumnRenamed("text", "query"), "query_id")
 
 
@@ -317,11 +376,14 @@ def key_sentences(spark, sf_dir):
     return found.select("query_id", "chunk_id", rerank.key_sentences(F.col("query"), F.col("text")).alias("sentences"), rerank.snippet(F.col("query"), F.col("text")).alias("snippet"))
 
 
-@query("""SELECT conv_id, turn, CAST(len(regexp_extract_all(coalesce(text, ''), '\\[S(\\d+)\\]')) AS BIGINT) AS n_cited,
-len(regexp_extract_all(coalesce(text, ''), '\\[S(\\d+)\\]')) > 0 AND len(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '\\[S(\\d+)\\]', 1), lambda n: n::INT), lambda n: n < 1 OR n > 3)) = 0 AS holds
-FROM conversations""")
+@query("""WITH m AS (SELECT conv_id, turn, coalesce(text, '') || CASE WHEN turn % 4 = 0 THEN '' WHEN turn % 4 = 1 THEN ' [S1] and [S3].' ELSE ' [S' || turn || '] [S2]' END AS t FROM conversations),
+c AS (SELECT conv_id, turn, list_transform(regexp_extract_all(t, '\\[S(\\d+)\\]', 1), lambda n: n::INT) AS marks FROM m)
+SELECT conv_id, turn, CAST(len(marks) AS BIGINT) AS n_cited, len(marks) > 0 AND len(list_filter(marks, lambda n: n < 1 OR n > 3)) = 0 AS holds FROM c""")
 def citation_check(spark, sf_dir):
-    t = F.coalesce("text", F.lit(""))
+    """Conversations cite nothing, so marks that depend on the turn are added: none, good ones, and ones that no source has."""
+    turn = F.col("turn")
+    mark = F.when(turn % 4 == 0, "").when(turn % 4 == 1, " [S1] and [S3].").otherwise(F.concat(F.lit(" [S"), turn.cast("string"), F.lit("] [S2]")))
+    t = F.concat(F.coalesce("text", F.lit("")), mark)
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(text.cited(t)).cast("long").alias("n_cited"), text.citations_hold(t, F.lit(3)).alias("holds"))
 
 
@@ -333,9 +395,10 @@ pos AS (SELECT hit.* FROM hit WHERE query_id IN (SELECT query_id FROM gold)), ne
 
 
 def _hits(spark, sf_dir):
-    docs, asked = corpus(spark, sf_dir), questions(spark, sf_dir)
-    gold = docs.select("chunk_id", "text").join(asked.select("query_id", F.col("text").alias("passage")), F.contains(F.col("text"), F.col("passage"))).select("query_id", F.col("chunk_id").alias("gold_id"))
-    best = retrieval.ranked(retrieval.bm25_scores(docs, asked), 4).select("query_id", "chunk_id", "rank")
+    asked = questions(spark, sf_dir)
+    # Asked for twice: a row for each passage found, so it is stored.
+    gold = index.materialized(search.containing(corpus(spark, sf_dir), asked), "gold").withColumnRenamed("chunk_id", "gold_id")
+    best = search.lexical(indexed(spark, sf_dir), asked, 4).select("query_id", "chunk_id", "rank")
     right = best.join(gold, (best["query_id"] == gold["query_id"]) & (best["chunk_id"] == gold["gold_id"]), "left").select(best["query_id"], "chunk_id", "rank", "gold_id")
     return evaluate.first_hits(asked.select("query_id"), right, F.col("gold_id").isNotNull()), gold
 

@@ -4,11 +4,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessellane.operators import retrieval
 from tessellane.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FEW = ["bm25_topk", "fnv_tfidf", "hybrid_rrf", "dense_topk", "pack_break", "eval_hit_mrr", "documents_listing", "largest_remainder", "counter_rate", "next_token", "xref_resolve", "citation_check"]
+FEW = ["bm25_topk", "fnv_tfidf", "hybrid_rrf", "dense_topk", "pack_break", "eval_hit_mrr", "documents_listing", "largest_remainder", "counter_rate", "next_token", "xref_resolve", "citation_check", "rerank_weighted", "rerank_coverage", "rerank_overlap", "hash_embedding", "fnv_topk", "expand_query", "tier_counts"]
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +42,17 @@ def test_chunks_keep_their_text(spark):
 
 
 def test_pushdown_reaches_the_scan(spark):
-    plan = catalog.QUERIES["bm25_scoped"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(quality), EqualTo(quality,1)" in plan
-    assert "CartesianProduct" not in plan and "Python" not in plan
+    good = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
+    scores = retrieval.bm25_scores(retrieval.scoped(catalog.corpus(spark, SF), good), catalog.questions(spark, SF))
+    for df in (scores, catalog.QUERIES["delete_cascade"](spark, SF)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [IsNotNull(quality), EqualTo(quality,1)" in plan or "PushedFilters: [IsNotNull(toxic), EqualTo(toxic,1)" in plan
+        assert "CartesianProduct" not in plan and "Python" not in plan
+
+
+def test_searches_read_the_documents_once(spark):
+    catalog.indexed(spark, SF)
+    plan = catalog.QUERIES["hybrid_rrf"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("documents.parquet") == 0 and plan.count("MapInArrow") == 1 and "NestedLoop" not in plan
+    plan = catalog.QUERIES["eval_hit_mrr"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tessellane.operators import evaluate, rerank, retrieval
+from tessellane.operators import evaluate, index, rerank, retrieval, search
 
 
 @pytest.fixture(scope="module")
@@ -80,12 +80,113 @@ def test_hash_embedding_equals_plain_python(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
-def test_dense_scores(spark):
-    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "chunk_id int, vec array<double>")
-    q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(30)], "query_id int, vec array<double>")
-    got = {(r.query_id, r.chunk_id): r.score for r in retrieval.dense_scores(v, q).collect()}
-    assert len(got) == 1200
-    assert got[3, 5] == pytest.approx((5 + 3) / math.hypot(5, 1) / math.hypot(1, 3))
+def test_dense_search(spark):
+    made = [(i, [float(i), 1.0], i % 3) for i in range(40)] + [(40, [0.0, 0.0], 1), (41, None, 1), (42, [1.0, 2.0], None)]
+    v = spark.createDataFrame(made, "chunk_id int, vec array<double>, label int").repartition(5)
+    asked = [(i, [1.0, float(i)], i % 3) for i in range(30)]
+    q = spark.createDataFrame(asked, "query_id int, vec array<double>, label int")
+    cos = lambda a, b: (a[0] * b[0] + a[1] * b[1]) / math.hypot(*a) / math.hypot(*b) if any(a) and any(b) else 0.0
+    for scope, own in ((None, False), ("label", False), ("label", True), (None, True)):
+        want = set()
+        for j, b, lab in asked:
+            fit = [(-round(cos(a, b), 9), i) for i, a, x in made if a is not None and (scope is None or x == lab) and not (own and i == j)]
+            want |= {(j, i, k) for k, (_, i) in enumerate(sorted(fit)[:7], 1)}
+        assert {(r.query_id, r.chunk_id, r.rank) for r in search.dense(v, q, 7, scope, own).collect()} == want
+    assert search.dense(v.limit(0), q, 3).count() == 0 and search.dense(v, q.limit(0), 3).count() == 0
+    with pytest.raises(Exception, match="different lengths"):
+        search.dense(v, spark.createDataFrame([(1, [1.0])], "query_id int, vec array<double>"), 3).collect()
+
+
+def brute_search(docs, asked, channel, pool):
+    """Scores by plain Python from tokens: (query, chunk, rank)."""
+    n, df = len(docs), {}
+    for own in docs.values():
+        for t in set(own):
+            df[t] = df.get(t, 0) + 1
+    mean = sum(map(len, docs.values())) / n or 1
+    w = lambda t, c: (1 + math.log(c)) * (1 + math.log((n + 1) / (df[t] + 1)))
+    out = set()
+    for q, terms in asked.items():
+        known = {t for t in terms if t in df}
+        found = []
+        for d, own in docs.items():
+            both = known & set(own)
+            if channel == "bm25":
+                s = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * own.count(t) * 2.5 / (own.count(t) + 1.5 * (0.25 + 0.75 * len(own) / mean)) for t in both)
+            else:
+                norm = lambda x: math.sqrt(sum(w(t, x.count(t)) ** 2 for t in set(x) if t in df))
+                s = sum(w(t, own.count(t)) * w(t, terms.count(t)) for t in both) / (norm(own) * norm(terms)) if both else 0
+            if s > 0:
+                found.append((-round(s, 9), d))
+        out |= {(q, d, k) for k, (_, d) in enumerate(sorted(found)[:pool], 1)}
+    return out
+
+
+@pytest.mark.parametrize(("channel", "block"), [("bm25", 512), ("vector", 512), ("bm25", 4), ("vector", 4)])
+def test_index_search_equals_brute_force(spark, monkeypatch, channel, block):
+    import random
+
+    monkeypatch.setattr(search, "BLOCK", block)
+    monkeypatch.setattr(search, "ROWS", 16)
+    monkeypatch.setattr(search, "ADDED", 50)
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice(["red", "green", "blue", "deep", "sea", "sky", "v2", "zebra"]) for _ in range(n))
+    docs = {i: text(rng.randrange(0, 12)) for i in range(90)} | {90: "", 91: "of the"}
+    asked = {i: text(rng.randrange(0, 6)) for i in range(13)} | {13: "nowhere red", 14: ""}
+    table = spark.createDataFrame([(i, t or None) for i, t in docs.items()], "chunk_id int, text string").repartition(3)
+    questions = spark.createDataFrame(list(asked.items()), "query_id int, text string")
+    made = index.build(table, "lab", "lab")
+    got = {(r.query_id, r.chunk_id, r.rank) for r in search.lexical(made, questions, 6, (channel,)).collect()}
+    split = lambda d: {i: [w for w in t.split() if w not in ("of", "the")] for i, t in d.items()}
+    assert got == brute_search(split(docs), split(asked), channel, 6)
+    assert index.is_there(made)
+    few = index.scoped(made, spark.range(40).selectExpr("id as chunk_id"))
+    got = {(r.query_id, r.chunk_id, r.rank) for r in search.lexical(few, questions, 6, (channel,)).collect()}
+    assert got == brute_search({i: t for i, t in split(docs).items() if i < 40}, split(asked), channel, 6)
+    stats = made.statistics().first()
+    assert (stats.chunks, stats.terms, stats.tokens) == (92, 8, sum(map(len, split(docs).values())))
+    made.discard()
+    assert not index.is_there(made)
+
+
+def test_index_equals_joins(spark):
+    docs = spark.createDataFrame([(1, "回滚 部署 rollback"), (2, "回家 rollback rollback"), (3, "checklist")], "chunk_id int, text string")
+    asked = spark.createDataFrame([(1, "回滚 rollback"), (2, "checklist 回")], "query_id int, text string")
+    joined = {(r.query_id, r.chunk_id): r.score for r in retrieval.bm25_scores(docs, asked).collect()}
+    found = {(r.query_id, r.chunk_id): r.score for r in search.lexical(index.build(docs), asked, 9).collect()}
+    assert joined.keys() == found.keys() and all(found[k] == pytest.approx(joined[k]) for k in joined)
+    cosines = {(r.query_id, r.chunk_id): r.score for r in retrieval.tfidf_cosine(docs, asked).collect()}
+    found = {(r.query_id, r.chunk_id): r.score for r in search.lexical(index.build(docs, "lab", "lab"), asked, 9, ("vector",)).collect()}
+    assert cosines.keys() == found.keys() and all(found[k] == pytest.approx(cosines[k]) for k in cosines)
+    with pytest.raises(ValueError):
+        search.lexical(index.build(docs), asked, 9, ("vector",))
+
+
+def test_containing(spark):
+    docs = spark.createDataFrame([(1, "abcd"), (2, "bc"), (3, None), (4, ""), (5, "漢字 abc")], "chunk_id int, text string")
+    asked = spark.createDataFrame([(1, "bc"), (2, "abc"), (3, ""), (4, None), (5, "漢"), (6, "bc"), (7, "zzz")], "query_id int, text string")
+    got = {(r.query_id, r.chunk_id) for r in search.containing(docs, asked).collect()}
+    texts = {1: "abcd", 2: "bc", 4: "", 5: "漢字 abc"}
+    assert got == {(q, d) for q, p in ((1, "bc"), (2, "abc"), (3, ""), (5, "漢"), (6, "bc"), (7, "zzz")) for d, t in texts.items() if p in t}
+    assert search.containing(docs, asked.limit(0)).count() == 0
+
+
+def test_hashed_searches(spark, two, asked):
+    both = spark.createDataFrame([(1, "rollback"), (2, "unknown words")], "query_id int, text string")
+    got = {(r.query_id, r.chunk_id): r.score for r in retrieval.embedding_search(two, both).collect()}
+    assert set(got) == {(1, "a-1"), (1, "b-1")} and got[1, "a-1"] > got[1, "b-1"] > 0
+    got = {(r.query_id, r.chunk_id): r.score for r in retrieval.hashed_search(two, both).collect()}
+    assert {k for k in got if k[0] == 1} == {(1, "a-1"), (1, "b-1")} and got[1, "a-1"] > got[1, "b-1"]
+
+
+def test_guards(spark, two):
+    with pytest.raises(ValueError):
+        retrieval.checked_capacity(two, 1)
+    assert retrieval.checked_capacity(two).count() == 2
+    for bad in ("", "  ", "x" * 2001):
+        with pytest.raises(Exception, match="characters"):
+            retrieval.checked_questions(spark.createDataFrame([(1, bad)], "query_id int, text string")).collect()
+    assert retrieval.POOLS["kit"](3) == (20, None) and retrieval.POOLS["lab"](6) == (24, 24) and retrieval.POOLS["pro"](5) == (20, 20)
 
 
 def test_related_and_expanded(spark):
