@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,10 +80,23 @@ def linear(a: Column, weights: Column, bias: Column) -> Column:
     return F.zip_with(F.transform(weights, lambda row: dot(a, row)), bias, lambda x, y: x + y)
 
 
+def _erf(x: np.ndarray) -> np.ndarray:
+    """The error function to about 15 places: 2/sqrt(pi) exp(-x^2) (x + 2x^3/3 + 4x^5/15 + ...), whose terms are all positive; beyond 6 it is 1."""
+    z = np.minimum(np.abs(x), 6.0)
+    term = z.copy()
+    total = term.copy()
+    for n in range(1, 130):
+        term = term * 2 * z * z / (2 * n + 1)
+        total += term
+    return np.sign(x) * np.minimum(2 / math.sqrt(math.pi) * np.exp(-z * z) * total, 1.0)
+
+
 @F.pandas_udf(DoubleType())
 def gelu(x: pd.Series) -> pd.Series:
-    """Exact, by the error function, which Spark lacks."""
-    return x.map(lambda v: None if v is None or v != v else 0.5 * v * (1 + math.erf(v / math.sqrt(2))))
+    """Exact, by the error function, which Spark lacks; whole batches at a time. Null stays null."""
+    v = x.to_numpy(dtype=float, na_value=np.nan)
+    out = 0.5 * v * (1 + _erf(v / math.sqrt(2)))
+    return pd.Series(out).where(~np.isnan(out), None)
 
 
 def cross_entropy(p: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellane.functions.text import reference_numbers
+from tessellane.operators.index import discard, materialized
 
 
 def largest_remainder(counts: DataFrame, group: str, count: str = "n", total: int = 100) -> DataFrame:
@@ -74,15 +76,17 @@ def train_merges(texts: DataFrame, merges: int, text: str = "text") -> list[tupl
     raw = F.hex(F.encode("w", "UTF-8"))
     state = words.select("weight", F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int")).alias("ids"))
     out: list[tuple[int, int, int]] = []
+    state = materialized(state, "words")
     for new in range(256, 256 + merges):
-        current = state
-        for left, right, made in out:
-            current = current.withColumn("ids", merged(F.col("ids"), left, right, made))
         at = F.transform(F.when(F.size("ids") > 1, F.sequence(F.lit(0), F.size("ids") - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.get("ids", i).alias("left"), F.get("ids", i + 1).alias("right")))
-        best = current.select("weight", F.explode(at).alias("p")).groupBy("p.left", "p.right").agg(F.sum("weight").alias("n")).orderBy(F.desc("n"), "left", "right").first()
+        best = state.select("weight", F.explode(at).alias("p")).groupBy("p.left", "p.right").agg(F.sum("weight").alias("n")).orderBy(F.desc("n"), "left", "right").first()
         if best is None or best["n"] < 2:
             break
         out.append((best["left"], best["right"], new))
+        # The words as they are now, so that a round costs the same however many came before.
+        before, state = state, materialized(state.withColumn("ids", merged(F.col("ids"), *out[-1])), "words")
+        discard(before)
+    discard(state)
     return out
 
 
@@ -110,6 +114,26 @@ def decode(ids: list[int], merges: list[tuple[int, int, int]]) -> str:
     return b"".join(pieces[i] for i in ids).decode("utf-8", "replace")
 
 
+def encoded(text: Column, merges: list[tuple[int, int, int]]) -> Column:
+    """``encode`` of a column; null stays null."""
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else encode(t, merges))
+
+    return run(text)
+
+
+def decoded(ids: Column, merges: list[tuple[int, int, int]]) -> Column:
+    """``decode`` of a column; null stays null."""
+
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: None if r is None else decode(list(r), merges))
+
+    return run(ids)
+
+
 def last_put(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """A map filled in ``order``: the last value of each key."""
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value))

@@ -24,6 +24,11 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
+def from_json(rows: DataFrame, schema: str, json: str = "json") -> DataFrame:
+    """The columns of ``schema`` from a column of JSON objects; null where one can't be read."""
+    return rows.select(F.from_json(json, schema).alias("row")).select("row.*")
+
+
 def markdown_row(*cells: Column) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c.cast("string"), F.lit("")) for c in cells]), F.lit(" |"))
 

@@ -63,6 +63,12 @@ def stream_rates(samples: DataFrame, key: str, ts: str, value: str, n: int = HIS
     )
 
 
-def windowed(events: DataFrame, ts: str, late: str, size: str, keys: list[str], *aggregates: Column) -> DataFrame:
-    """Aggregates in windows of event time, for streams and tables; rows later than ``late`` are given up by a stream."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, size), *keys).agg(*aggregates)
+def windowed(events: DataFrame, ts: str, late: str, size: str, keys: list[str], *aggregates: Column, slide: str | None = None) -> DataFrame:
+    """Aggregates in windows of event time (sliding ones with ``slide``), for streams and tables; rows later than ``late`` are given up by a stream."""
+    window = F.window(ts, size, slide) if slide else F.window(ts, size)
+    return events.withWatermark(ts, late).groupBy(window, *keys).agg(*aggregates)
+
+
+def sessions(events: DataFrame, ts: str, late: str, gap: str, keys: list[str], *aggregates: Column) -> DataFrame:
+    """Aggregates in sessions: runs of a key's rows with less than ``gap`` between them, for streams and tables."""
+    return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), *keys).agg(*aggregates)

@@ -7,24 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tessellane.operators.store import digested, new_documents
+from tessellane.operators.store import DocumentStore
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Append new documents of ``stream`` (doc_id, text) to the Parquet table at ``path``; a batch that is repeated adds nothing."""
+def ingest(stream: DataFrame, store: DocumentStore, checkpoint: str, every: str | None = None, then: Callable[[DocumentStore, int], None] | None = None) -> StreamingQuery:
+    """Add new documents of ``stream`` (name, text) to ``store``.
+
+    A batch is added by one version of the store that carries the batch's number, so a batch that is repeated after a failure
+    adds nothing twice. Of the store only digests are read. Without ``every`` (such as ``2 seconds``) what is there is
+    taken once. ``then`` is called after each batch, to embed what is pending, say.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        schema = digested(batch).schema
-        stored = spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
-        fresh = new_documents(digested(batch), stored)
-        fresh.write.mode("append").parquet(path)
+        store.add(batch, number)
         if then:
-            then(fresh, number)
-
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
+            then(store, number)
 
-def _exists(spark, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**trigger).start()

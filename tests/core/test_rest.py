@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tessellane.operators import chunking, stats, store
+from tessellane.operators import chunking, remote, stats, store
 from tessellane.sources import files, sinks
 from tessellane.streaming import counters, ingest
 
@@ -149,6 +149,7 @@ def test_sinks(spark, tmp_path):
     back = sinks.load_index(spark, str(tmp_path / "ix"))
     assert back.keys() == {"one", "two"} and back["one"].first().t == "a"
     assert sinks.as_json(df).first().json == '{"n":1,"t":"a"}'
+    assert sinks.from_json(sinks.as_json(df), df.schema.simpleString()[7:-1].replace(":", " ")).collect() == df.collect()
     sinks.write_markdown(df, str(tmp_path / "md"))
     assert spark.read.text(str(tmp_path / "md")).first().value == "| 1 | a |"
 
@@ -175,11 +176,121 @@ def test_streams(spark, tmp_path):
     got = sorted((r.key, r.delta, r.total) for r in spark.table("rated").collect() if r.delta is not None)
     assert got == [("d", 0.0, 20.0), ("d", 20.0, 20.0), ("d", 20.0, 40.0), ("e", 1.0, 1.0)]
     docs = tmp_path / "docs"
-    spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string").coalesce(1).write.parquet(str(docs))
-    for _ in range(2):
-        s = spark.readStream.schema("doc_id long, text string").parquet(str(docs))
-        ingest.ingest(s, str(tmp_path / "out"), str(tmp_path / f"c{_ + 2}")).awaitTermination(120)
-    assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 3]
+    spark.createDataFrame([("x", "a"), ("y", "a"), ("z", "b")], "name string, text string").coalesce(1).write.parquet(str(docs))
+    seen = []
+    for i in range(2):
+        s = spark.readStream.schema("name string, text string").parquet(str(docs))
+        kept = store.DocumentStore(spark, str(tmp_path / "store"))
+        ingest.ingest(s, kept, str(tmp_path / f"c{i + 2}"), then=lambda k, n: seen.append((n, k.table("documents").count()))).awaitTermination(120)
+    assert sorted(r.name for r in kept.table("documents").collect()) == ["x", "z"] and seen == [(0, 2), (0, 2)]
+    running = ingest.ingest(spark.readStream.schema("name string, text string").parquet(str(docs)), store.DocumentStore(spark, str(tmp_path / "other")), str(tmp_path / "c9"), every="1 second")
+    running.processAllAvailable()
+    running.stop()
+    assert store.DocumentStore(spark, str(tmp_path / "other")).table("documents").count() == 2
+
+
+def test_windows_of_streams_and_tables(spark):
+    df = spark.createDataFrame([("k", 0, 1.0), ("k", 50, 2.0), ("k", 200, 4.0)], "key string, s int, value double").selectExpr("key", "timestamp_seconds(s) as ts", "value")
+    total = F.sum("value").alias("total")
+    assert sorted(r.total for r in counters.windowed(df, "ts", "1 minute", "1 minute", ["key"], total).collect()) == [3.0, 4.0]
+    assert sorted(r.total for r in counters.windowed(df, "ts", "1 minute", "1 minute", ["key"], total, slide="30 seconds").collect()) == [1.0, 2.0, 3.0, 4.0, 4.0]
+    assert sorted(r.total for r in counters.sessions(df, "ts", "1 minute", "1 minute", ["key"], total).collect()) == [3.0, 4.0]
+
+
+def test_document_store(spark, tmp_path):
+    kept = store.DocumentStore(spark, str(tmp_path / "store"), size=200, overlap=20)
+    assert kept.table("documents").count() == 0 and kept.listing().count() == 0
+    docs = spark.createDataFrame([("a.md", TEXT), ("b.md", "short text"), ("c.md", "short text"), ("d.md", None)], "name string, text string")
+    assert kept.add(docs) == 2 and kept.add(docs) == 0
+    assert kept.add(spark.createDataFrame([("e.md", "late")], "name string, text string"), 5) == 1
+    assert kept.add(spark.createDataFrame([("f.md", "later")], "name string, text string"), 5) == 0
+    listed = {r.name: r for r in kept.listing().collect()}
+    assert set(listed) == {"a.md", "b.md", "e.md"} and listed["b.md"].chunks == 1 and listed["a.md"].chunks > 3 and listed["a.md"].embedded == 0
+    assert kept.listing().first().name == "e.md"
+    many = kept.table("chunks").count()
+    failing = remote.Embedder(lambda texts: [[float("nan")] for _ in texts], "m")
+    with pytest.raises(Exception, match="not finite"):
+        kept.embed(failing)
+    model = remote.Embedder(lambda texts: [[float(len(t)), float(len(texts))] for t in texts], "m")
+    assert kept.embed(model, round_size=4) == many and kept.embed(model) == 0
+    rows = kept.table("chunks").collect()
+    assert all(r.embedding[0] == len(r.text) and r.embedding[1] <= 32 and r.embedding_key == model.key for r in rows)
+    assert kept.embed(remote.Embedder(model.call, "other")) == many
+    kept.delete(kept.table("documents").where("name = 'a.md'").select("id"))
+    assert kept.table("chunks").count() == 2 and kept.statistics().first().n_docs_src == 2
+    kept.reindex(size=100, overlap=10)
+    assert kept.table("chunks").where("embedding is not null").count() == 0
+    again = store.DocumentStore(spark, str(tmp_path / "store"))
+    assert {r.name for r in again.table("documents").collect()} == {"b.md", "e.md"}
+
+
+def test_remote_hooks(spark):
+    with pytest.raises(ValueError):
+        remote.post("http://example.org", {})
+    assert remote.in_order([{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}], 2) == [[1.0], [2.0]]
+    for bad in ([[1.0]], [[1.0], []], [[1.0], [1.0, 2.0]], [[1.0], [float("inf")]]):
+        with pytest.raises(ValueError):
+            remote.checked(bad, 2)
+    with pytest.raises(ValueError):
+        remote.in_order([{"index": 0, "embedding": [1.0]}, {"index": 0, "embedding": [1.0]}], 2)
+    q = spark.createDataFrame([(1, "a"), (2, "fails"), (3, "empty")], "query_id int, text string")
+
+    def call(x):
+        if x == "fails":
+            raise ValueError("no")
+        return "" if x == "empty" else f" better\n{x} "
+
+    assert {r.query_id: r.text for r in remote.rewritten(q, call).collect()} == {1: "better a", 2: "fails", 3: "empty"}
+    assert remote.rewritten(q) is q
+    extractive = spark.createDataFrame([(i, f"own {i}") for i in range(1, 5)], "query_id int, answer string")
+    prompts = spark.createDataFrame([(1, "good", 2), (2, "uncited", 2), (3, "fails", 2)], "query_id int, prompt string, n_sources int")
+
+    def chat(p):
+        if p == "fails":
+            raise ValueError("no")
+        return "told [S2]" if p == "good" else "told [S3]"
+
+    got = {r.query_id: (r.answer, r.kind) for r in remote.answered(extractive, prompts, chat).collect()}
+    assert got == {1: ("told [S2]", "generated"), 2: ("own 2", "extractive"), 3: ("own 3", "extractive"), 4: ("own 4", "extractive")}
+    assert {r.kind for r in remote.answered(extractive, prompts).collect()} == {"extractive"}
+
+
+def test_sql_names(spark):
+    import random
+
+    from tessellane.functions import sql, text
+
+    assert set(sql.register(spark)) == {"tok_pro", "tok_lab", "tok_easy", "tok_kit", "split_sentences", "hard_split", "estimate_tokens", "chunk_lab", "chunk_easy", "chunk_kit", "chunk_pro"}
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["Ab", "回", "滚的", "か", "한", " ", "，", "9_", "。", "the ", "㐀", "!", "\n"]) for _ in range(rng.randrange(25))) for _ in range(200)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    df.createOrReplaceTempView("texts")
+    for name in ("tok_pro", "tok_lab", "tok_easy", "tok_kit", "split_sentences", "estimate_tokens", "hard_split"):
+        ours = df.select(getattr(text, name)(F.col("text")).alias("x")).collect()
+        assert [r.x for r in spark.sql(f"select {name}(text) as x from texts").collect()][:-2] == [r.x for r in ours][:-2], name
+    rows = spark.sql("select c.ordinal, c.chunk from (select 'One. Two.' as t) v, lateral chunk_easy(v.t) c").collect()
+    assert [tuple(r) for r in rows] == [(1, "One. Two.")]
+
+
+def test_texts_links_and_anchors(spark):
+    from tessellane.functions import text
+
+    one = lambda c, **v: spark.createDataFrame([tuple(v.values())], ", ".join(f"{k} string" for k in v)).select(c.alias("x")).first().x
+    assert one(text.without_back_link(F.col("t")), t="[← 回总目录](../x.md)\n\nText") == "Text"
+    assert one(text.rewritten_links(F.col("t"), "https://h/"), t='[a](b.md) [c](https://x) [d](#y) [e](./f.md "T")') == '[a](https://h/b.md) [c](https://x) [d](#y) [e](https://h/f.md "T")'
+    assert one(text.plain_html(F.col("t")), t="<p>a <b>b</b></p>") == "a b"
+    assert one(text.utc_stamp(F.to_timestamp(F.lit("2024-01-31 12:00:00"))), t="") == "2024-01-31T12:00:00Z"
+    assert one(text.longest_common_han(F.col("a"), F.col("b")), a="看居民医保吧和x医保卡", b="城乡居民医保") == 4
+    check = lambda wide, narrow, title: one(text.anchored(F.col("w"), F.col("n"), F.col("t")), w=wide, n=narrow, t=title)
+    assert check("call 12356 now", "", "热线 12356") == "strong" and check("含糖饮料", "", "少喝含糖饮料") == "strong"
+    assert check("你自己还", "", "个税自己报") == "weak" and check("你自己还", "自己", "个税自己报") == "strong" and check("无关", "", "标题") == "none"
+
+
+def test_byte_pairs_as_columns(spark):
+    merges = [(108, 111, 256), (256, 119, 257)]
+    df = spark.createDataFrame([("low lo é",), (None,), ("",)], "t string")
+    rows = df.select(stats.encoded(F.col("t"), merges).alias("ids")).select("ids", stats.decoded(F.col("ids"), merges).alias("t")).collect()
+    assert [r.t for r in rows] == ["low lo é", None, ""] and rows[0].ids[:3] == [257, 32, 256]
 
 
 def test_entry_answers(spark):

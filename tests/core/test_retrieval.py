@@ -245,6 +245,24 @@ def test_answers(spark):
     assert df.select(rerank.snippet(F.col("q"), F.col("t")).alias("k")).first().k == "前言。回滚有步骤。结束"
 
 
+def test_contexts_and_full_answers(spark):
+    kind = "query_id int, query string, rank int, chunk_id int, path string, chunk_idx int, heading string, score double, text string"
+    hits = spark.createDataFrame(
+        [(1, "回滚 步骤", 1, 5, "a.md", 0, "H", 0.51239, "前言。回滚有步骤。"), (1, "回滚 步骤", 2, 6, "a.md", 0, "", 0.4, "again"), (1, "回滚 步骤", 3, 7, "b.md", 1, "", 0.3, "更多内容。"), (1, "回滚 步骤", 4, 8, "a.md", 2, "", 0.2, "x " * 40)], kind
+    )
+    got = rerank.pro_context(hits, 30).first()
+    assert got.context == "[1] 来源：a.md\n前言。回滚有步骤。\n\n[2] 来源：b.md\n更多内容。" and got.used == ["a.md", "b.md"]
+    assert rerank.pro_context(hits, 1).first().used == ["a.md"] and len(rerank.pro_context(hits, 10_000, 2).first().used) == 2
+    kit = rerank.kit_context(hits.withColumnRenamed("path", "src"), 18).first().contexts
+    assert kit == ["[1] 出典: a.md / 見出し: H\n前言。回滚有步骤。", "[2] 出典: a.md\nagain"]
+    assert rerank.citations(hits).first().citations == ["a.md", "b.md"]
+    answer = rerank.pro_answers(hits.where("rank in (1, 3)")).first().answer
+    assert answer == "回滚有步骤。\n更多内容。\n\n参考来源：\n[1] a.md\n[2] b.md"
+    assert rerank.pro_answers(hits.where("rank = 4")).first().answer.startswith("x x ")
+    full = rerank.kit_answers(hits.withColumnRenamed("path", "src")).first()
+    assert full.answer == "【抽出回答】\n回滚 步骤\n根拠: 前言。回滚有步骤\n（出典: a.md）" and [s.score for s in full.sources] == [0.5124, 0.4, 0.3] and full.sources[0].heading == "H"
+
+
 def test_worked_metrics(spark):
     cases = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "query_id int")
     ranking = spark.createDataFrame([(1, 1, True), (2, 2, True), (2, 1, False), (3, 4, True), (4, 1, False)], "query_id int, rank int, right boolean")
