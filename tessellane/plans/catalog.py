@@ -6,6 +6,7 @@ texts without Han, kana or Hangul, which is what the tables hold; the tests cove
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -329,13 +330,29 @@ def rerank_overlap(spark, sf_dir):
     return _reranked(rerank.overlapped(channels(spark, sf_dir, "easy", "lab").withColumnRenamed("vector", "cosine")))
 
 
-@query()
+def _greedy(found: str, likeness: str, k: int = 5, lam: float = 0.7) -> str:
+    """``k`` picks one after the other from ``found`` (query_id, chunk_id, score, x): each the best by score less likeness to those before."""
+    steps = [f"""m AS MATERIALIZED ({found}), i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS place FROM m),
+k1 AS (SELECT query_id, chunk_id, score, x, 1 AS pick FROM i WHERE place = 1)"""]
+    for n in range(2, k + 1):
+        steps.append(f"""k{n} AS (SELECT * FROM k{n - 1} UNION ALL SELECT query_id, chunk_id, score, x, {n} FROM (
+  SELECT i.query_id, i.chunk_id, any_value(i.score) AS score, any_value(i.x) AS x,
+    row_number() OVER (PARTITION BY i.query_id ORDER BY round({lam} * round(any_value(i.score), 9) - {round(1 - lam, 9)} * max({likeness}), 9) DESC, any_value(i.place)) AS r
+  FROM i JOIN k{n - 1} p ON i.query_id = p.query_id WHERE i.chunk_id NOT IN (SELECT chunk_id FROM k{n - 1} o WHERE o.query_id = i.query_id) GROUP BY i.query_id, i.chunk_id) WHERE r = 1)""")
+    return ",\n".join(steps) + f" SELECT query_id, chunk_id, round(score, 6) AS score, CAST(pick AS BIGINT) AS pick FROM k{k}"
+
+
+_JACCARD = "CASE WHEN len(list_distinct(list_concat(i.x, p.x))) = 0 THEN 0 ELSE len(list_intersect(i.x, p.x)) / len(list_distinct(list_concat(i.x, p.x))) END"
+
+
+@query(base("pro") + ", " + _greedy("SELECT b.query_id, b.chunk_id, b.score, list_distinct(d.toks) AS x FROM bmr b JOIN d USING (chunk_id) WHERE rank <= 20", _JACCARD))
 def mmr_select(spark, sf_dir):
     found = candidates(spark, sf_dir, "pro").withColumn("terms", F.array_distinct(text.tok_pro(F.col("text"))))
     return rerank.mmr(found.select("query_id", "chunk_id", "score", "terms"), 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("pick").cast("long").alias("pick"))
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS chunk_id, list_cosine_similarity(q.vec, d.vec) AS score, d.vec AS x FROM v q JOIN v d ON q.vec_id % 20 = 0), """ + _greedy("SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) <= 15", "list_cosine_similarity(i.x, p.x)"))
 def mmr_cosine_select(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     asked = v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vec")
@@ -357,12 +374,6 @@ def _chunk_hits(spark, sf_dir, k: int = 12) -> DataFrame:
     return best.join(cut, "chunk_id").join(asked.withColumnRenamed("text", "query"), "query_id")
 
 
-@query()
-def pack_skip(spark, sf_dir):
-    hits = _chunk_hits(spark, sf_dir).select("query_id", "rank", "chunk_id", "doc_id", "start", "end", "text")
-    return rerank.pack_skipping(hits, 2000).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "citation", "reason")
-
-
 @query()
 def extractive_answer(spark, sf_dir):
     hits = _chunk_hits(spark, sf_dir, 4)
@@ -430,15 +441,77 @@ def hard_split(spark, sf_dir):
     return chunking.fixed_chunks(read(spark, sf_dir, "documents")).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "chunk")
 
 
-def _chunker(name: str) -> Query:
-    def f(spark, sf_dir):
-        return chunking.chunks(read(spark, sf_dir, "documents"), name)
+# What Python calls white space; the expressions of SQL know the ASCII part only.
+_WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _window_end(start: str) -> str:
+    """The end of a window: the last cut that stands in its second half, found by a greedy expression."""
+    cut = f"length(regexp_extract(substring(text, {start} + 251, 250), '(?s)^.*(?:\\n|[。！？.!?][{_WS}])'))"
+    return f"CASE WHEN {start} + 500 >= length(text) THEN length(text) WHEN {cut} > 0 THEN {start} + 250 + {cut} ELSE {start} + 500 END"
+
+
+#: cut: doc_id, ordinal, start, stop, chunk, by following each document from window to window.
+_LAB_CUT = f"""walk(doc_id, text, s, e) AS (SELECT doc_id, text, 0::BIGINT, ({_window_end("0")})::BIGINT FROM documents WHERE length(text) > 0
+  UNION ALL SELECT doc_id, text, ns, ({_window_end("ns")})::BIGINT FROM (SELECT doc_id, text, greatest(s + 1, e - 80) AS ns FROM walk WHERE e < length(text))),
+cut AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS ordinal, s AS start, e AS stop, substring(text, s + 1, e - s) AS chunk FROM walk WHERE regexp_matches(substring(text, s + 1, e - s), '[^{_WS}]'))"""
+
+
+def _cut(spark, sf_dir, name: str) -> DataFrame:
+    return chunking.chunks(read(spark, sf_dir, "documents"), name).withColumns({c: F.col(c).cast("long") for c in ("ordinal", "start", "end")})
+
 
-    f.__name__ = f"chunk_{name}"
-    return query()(f)
+@query(f'WITH RECURSIVE {_LAB_CUT} SELECT doc_id, ordinal, start, stop AS "end", NULL::VARCHAR AS heading, chunk FROM cut')
+def chunk_lab(spark, sf_dir):
+    return _cut(spark, sf_dir, "lab")
 
 
-chunk_lab, chunk_easy, chunk_kit, chunk_pro = map(_chunker, ("lab", "easy", "kit", "pro"))
+_STRIPPED = f"regexp_replace(regexp_replace(x, '^[{_WS}]+', ''), '[{_WS}]+$', '')"
+
+
+@query(f"""WITH RECURSIVE parts AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([。！？!?；;])[{_WS}]*', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIPPED}), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL),
+walk(doc_id, p, i, held, made) AS (SELECT doc_id, p, 0::BIGINT, '', []::VARCHAR[] FROM parts
+  UNION ALL SELECT doc_id, p, i + 1,
+    CASE WHEN i = len(p) THEN '' WHEN length(p[i + 1]) > 500 THEN '' WHEN length(held) + length(p[i + 1]) <= 500 THEN held || p[i + 1] ELSE right(held, 100) || p[i + 1] END,
+    CASE WHEN i = len(p) THEN [held] WHEN length(p[i + 1]) > 500 THEN list_prepend(held, list_transform(range((length(p[i + 1]) + 499) // 500), lambda k: substring(p[i + 1], k * 500 + 1, 500)))
+      WHEN length(held) + length(p[i + 1]) <= 500 THEN [] ELSE [held] END
+  FROM walk WHERE i <= len(p)),
+flat AS (SELECT doc_id, i, unnest(made) AS chunk, generate_subscripts(made, 1) AS k FROM walk)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS ordinal, NULL::BIGINT AS start, NULL::BIGINT AS "end", NULL::VARCHAR AS heading, chunk FROM flat WHERE regexp_matches(chunk, '[^{_WS}]')""")
+def chunk_easy(spark, sf_dir):
+    return _cut(spark, sf_dir, "easy")
+
+
+@query()
+def chunk_kit(spark, sf_dir):
+    return _cut(spark, sf_dir, "kit")
+
+
+@query()
+def chunk_pro(spark, sf_dir):
+    return _cut(spark, sf_dir, "pro")
+
+
+def _packed(budget: int, most: int) -> str:
+    """Rows of hits (query_id, rank, doc_id, s, e, text) one rank after the other, with what is taken so far."""
+    clash = "len(list_filter(taken, lambda t: t.d = h.doc_id AND 2 * (least(t.e, h.e) - greatest(t.s, h.s)) > greatest(1, least(t.e - t.s, h.e - h.s)))) > 0"
+    steps = ["p0 AS (SELECT DISTINCT query_id, 0 AS rank, NULL::VARCHAR AS chunk_id, 0::BIGINT AS used, []::STRUCT(d BIGINT, s BIGINT, e BIGINT)[] AS taken, NULL::VARCHAR AS reason FROM hits)"]
+    for k in range(1, most + 1):
+        steps.append(f"""p{k} AS (SELECT query_id, rank, chunk_id, CASE WHEN reason IS NULL THEN used + n ELSE used END AS used, CASE WHEN reason IS NULL THEN list_append(taken, own) ELSE taken END AS taken, reason
+  FROM (SELECT h.query_id, h.rank, h.chunk_id, used, taken, length(h.text) AS n, {{'d': h.doc_id, 's': h.s, 'e': h.e}} AS own, CASE WHEN {clash} THEN 'overlap' WHEN used + length(h.text) > {budget} THEN 'budget' END AS reason
+    FROM p{k - 1} p JOIN hits h ON h.query_id = p.query_id AND h.rank = {k}))""")
+    rows = " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(1, most + 1))
+    return ",\n".join(steps) + f" SELECT query_id, chunk_id, rank, CASE WHEN reason IS NULL THEN 'S' || len(taken) END AS citation, reason FROM ({rows})"
+
+
+_OVER_CHUNKS = base(docs="(SELECT doc_id || '-' || ordinal AS doc_id, chunk AS text FROM cut)").replace("WITH d AS", f"WITH RECURSIVE {_LAB_CUT}, d AS", 1)
+
+
+@query(_OVER_CHUNKS + """, hits AS MATERIALIZED (SELECT b.query_id, b.rank, b.chunk_id, c.doc_id, c.start AS s, c.stop AS e, c.chunk AS text FROM bmr b JOIN cut c ON c.doc_id || '-' || c.ordinal = b.chunk_id WHERE rank <= 12),
+""" + _packed(2000, 12))
+def pack_skip(spark, sf_dir):
+    hits = _chunk_hits(spark, sf_dir).select("query_id", "rank", "chunk_id", "doc_id", "start", "end", "text")
+    return rerank.pack_skipping(hits, 2000).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "citation", "reason")
 
 
 # Store
@@ -482,14 +555,21 @@ def html_nodes(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", files.html_text(F.col("html")).alias("text"), files.html_text(F.col("html"), True).alias("visible"))
 
 
+def _as_csv(df: DataFrame) -> DataFrame:
+    """``df`` written as CSV files and read by the engine's reader."""
+    path = f"{index.working_dir(df.sparkSession)}/tessellane-csv-{uuid.uuid4().hex}"
+    df.write.csv(path, header=True)
+    return files.read_csv(df.sparkSession, path)
+
+
 @query("SELECT CAST(n_nationkey AS VARCHAR) || ' | ' || trim(n_name) || ' | ' || CAST(n_regionkey AS VARCHAR) AS text FROM nation")
 def csv_rows(spark, sf_dir):
-    return files.rows_as_text(read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    return files.rows_as_text(_as_csv(read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")))
 
 
 @query("SELECT 'r_regionkey: ' || CAST(r_regionkey AS VARCHAR) || chr(10) || 'r_name: ' || r_name AS text FROM region")
 def csv_records(spark, sf_dir):
-    return files.records_as_text(read(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    return files.records_as_text(_as_csv(read(spark, sf_dir, "region").select("r_regionkey", "r_name")))
 
 
 @query("SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY 1")
@@ -522,13 +602,13 @@ def tier_counts(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").groupBy(stats.tier(*tags).alias("tier")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH m AS (SELECT n_nationkey AS source, n_name FROM nation),
-t AS (SELECT source, unnest(range(source, source + 4)) AS target FROM m) SELECT CAST(source AS BIGINT) AS source, CAST(target AS BIGINT) AS target, n_name AS title FROM t LEFT JOIN nation ON target = n_nationkey""")
+@query("""WITH t AS (SELECT c_custkey AS source, unnest(list_concat([c_custkey], range(c_custkey + 2, c_custkey + 6))) AS target FROM customer)
+SELECT source, CAST(target AS BIGINT) AS target, c_name AS title FROM t LEFT JOIN customer ON target = c_custkey""")
 def xref_resolve(spark, sf_dir):
-    n = read(spark, sf_dir, "nation")
-    refs = n.select(F.col("n_nationkey").alias("source"), F.concat(F.lit("see "), F.col("n_nationkey").cast("string"), F.lit("到"), (F.col("n_nationkey") + 3).cast("string")).alias("text"))
-    got = stats.resolved(refs, n.select(F.col("n_nationkey").alias("entry"), F.col("n_name").alias("title")))
-    return got.select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target"), "title")
+    c, key = read(spark, sf_dir, "customer"), F.col("c_custkey")
+    named = F.concat(F.lit("见 "), key.cast("string"), F.lit("、"), (key + 2).cast("string"), F.lit("到"), (key + 5).cast("string"))
+    got = stats.resolved(c.select(key.alias("source"), named.alias("text")), c.select(key.alias("entry"), F.col("c_name").alias("title")))
+    return got.select("source", F.col("target").cast("long").alias("target"), "title")
 
 
 @query("""WITH b AS (SELECT list_transform(range(1, len(h) + 1, 2), lambda i: ('0x' || h[i:i+1])::BIGINT) AS ids FROM (SELECT hex(encode(p_name)) AS h FROM part)),

@@ -23,6 +23,11 @@ def test_windows(size):
     assert all(a[2] - b[1] == 30 for a, b in zip(got, got[1:], strict=False))
 
 
+def test_windows_without_a_cut_are_full():
+    text = "x" * 130 + ". " + "y" * 150
+    assert [(s, e) for _, s, e, _ in chunking.windows(text, 100, 10)] == [(0, 100), (90, 132), (122, 222), (212, 282)]
+
+
 @pytest.mark.parametrize("bad", [(99, 0), (3000, 0), (100, 50), (100, -1)])
 def test_windows_refuse(bad, spark):
     with pytest.raises(ValueError):
