@@ -374,19 +374,6 @@ def _chunk_hits(spark, sf_dir, k: int = 12) -> DataFrame:
     return best.join(cut, "chunk_id").join(asked.withColumnRenamed("text", "query"), "query_id")
 
 
-@query()
-def extractive_answer(spark, sf_dir):
-    hits = _chunk_hits(spark, sf_dir, 4)
-    packed = rerank.pack_skipping(hits.select("query_id", "rank", "chunk_id", "doc_id", "start", "end", "text", "query"), 6000).where("citation is not null")
-    return rerank.extractive_answers(packed.select("query_id", "query", "rank", "citation", "text"))
-
-
-@query()
-def key_sentences(spark, sf_dir):
-    found = candidates(spark, sf_dir, "pro", 1)
-    return found.select("query_id", "chunk_id", rerank.key_sentences(F.col("query"), F.col("text")).alias("sentences"), rerank.snippet(F.col("query"), F.col("text")).alias("snippet"))
-
-
 @query("""WITH m AS (SELECT conv_id, turn, coalesce(text, '') || CASE WHEN turn % 4 = 0 THEN '' WHEN turn % 4 = 1 THEN ' [S1] and [S3].' ELSE ' [S' || turn || '] [S2]' END AS t FROM conversations),
 c AS (SELECT conv_id, turn, list_transform(regexp_extract_all(t, '\\[S(\\d+)\\]', 1), lambda n: n::INT) AS marks FROM m)
 SELECT conv_id, turn, CAST(len(marks) AS BIGINT) AS n_cited, len(marks) > 0 AND len(list_filter(marks, lambda n: n < 1 OR n > 3)) = 0 AS holds FROM c""")
@@ -514,6 +501,57 @@ def pack_skip(spark, sf_dir):
     return rerank.pack_skipping(hits, 2000).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "citation", "reason")
 
 
+def _parts(marks: str, text: str) -> str:
+    """The stripped parts of a text that end after one of ``marks``, without empty ones."""
+    return f"list_filter(list_transform(string_split(regexp_replace({text}, '([{marks}])[{_WS}]*', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIPPED}), lambda x: x <> '')"
+
+
+def _tokens(x: str, tok: str) -> str:
+    return TOK[tok].replace("coalesce(text, '')", x)
+
+
+def _cut_at(mark: str) -> str:
+    """How much of the first 220 characters ends with the last ``mark``."""
+    return f"220 - instr(reverse(left(flat, 220)), '{mark}') + 1"
+
+
+_KEYS = base("pro") + f""", c AS (SELECT b.query_id, b.chunk_id, z.text, q.text AS query FROM bmr b JOIN documents z ON z.doc_id = b.chunk_id JOIN q USING (query_id) WHERE rank = 1),
+p AS (SELECT *, {_parts("。！？!?；;", "text")} AS parts, list_filter(list_distinct({_tokens("query", "pro")}), lambda t: length(t) > 1) AS wanted, list_distinct({_tokens("query", "kit")}) AS kit,
+  list_filter(string_split(replace(text, chr(10), '。'), '。'), lambda x: regexp_matches(x, '[^{_WS}]')) AS around FROM c),
+n AS (SELECT *, list_transform(around, lambda x: len(list_intersect(kit, {_tokens("x", "kit")}))) AS hits FROM p),
+a AS (SELECT *, list_position(hits, list_max(hits)) AS place FROM n),
+f AS (SELECT *, trim(regexp_replace(CASE WHEN len(around) = 0 THEN text ELSE array_to_string(around[greatest(1, place - 1) : place + 1], '。') END, '[{_WS}]+', ' ', 'g')) AS flat FROM a)
+SELECT query_id, chunk_id, list_filter(parts, lambda x: len(list_intersect(wanted, {_tokens("x", "pro")})) > 0)[1:3] AS sentences,
+  CASE WHEN length(flat) <= 220 THEN flat {" ".join(f"WHEN instr(left(flat, 220), '{m}') > 0 AND {_cut_at(m)} - 1 > 110 THEN left(flat, {_cut_at(m)})" for m in "。．.!？")} ELSE left(flat, 220) || '…' END AS snippet FROM f"""
+
+
+@query(_KEYS)
+def key_sentences(spark, sf_dir):
+    found = candidates(spark, sf_dir, "pro", 1)
+    return found.select("query_id", "chunk_id", rerank.key_sentences(F.col("query"), F.col("text")).alias("sentences"), rerank.snippet(F.col("query"), F.col("text")).alias("snippet"))
+
+
+_ANSWERS = _OVER_CHUNKS + """, hits AS MATERIALIZED (SELECT b.query_id, b.rank, b.chunk_id, c.doc_id, c.start AS s, c.stop AS e, c.chunk AS text FROM bmr b JOIN cut c ON c.doc_id || '-' || c.ordinal = b.chunk_id WHERE rank <= 4),
+""" + _packed(6000, 4).replace(" SELECT query_id, chunk_id, rank, CASE", ", packed AS (SELECT query_id, chunk_id, rank, CASE", 1) + f"""),
+src AS (SELECT p.query_id, p.rank, p.citation, h.text, list_distinct(q.toks) AS asked FROM packed p JOIN hits h USING (query_id, rank) JOIN q USING (query_id) WHERE citation IS NOT NULL),
+anc AS (SELECT *, CASE WHEN len(list_filter(asked, lambda t: length(t) >= 2 OR regexp_matches(t, '^[a-z0-9_]+$'))) > 0 THEN list_filter(asked, lambda t: length(t) >= 2 OR regexp_matches(t, '^[a-z0-9_]+$')) ELSE asked END AS anchor,
+  {_parts("。！？.!?", "regexp_replace(text, '" + chr(92) + "n+', chr(1), 'g')")} AS parts FROM src),
+each AS (SELECT query_id, rank, citation, anchor, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM anc),
+scored AS (SELECT *, len(list_intersect(anchor, {_tokens("part", "lab")})) AS n FROM each),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY n DESC, i) AS r FROM scored),
+ex AS (SELECT query_id, rank, citation, max(n) AS score, string_agg(part, ' ' ORDER BY i) AS excerpt FROM best WHERE r <= 2 GROUP BY ALL),
+good AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM ex QUALIFY score >= greatest(1, 0.6 * max(score) OVER (PARTITION BY query_id)) OR (max(score) OVER (PARTITION BY query_id) < 1 AND rank = min(rank) OVER (PARTITION BY query_id))),
+few AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM good)
+SELECT query_id, string_agg('“' || excerpt || '” [' || citation || ']', chr(10) || chr(10) ORDER BY rank) AS answer FROM few WHERE nth <= 3 GROUP BY 1"""
+
+
+@query(_ANSWERS)
+def extractive_answer(spark, sf_dir):
+    hits = _chunk_hits(spark, sf_dir, 4)
+    packed = rerank.pack_skipping(hits.select("query_id", "rank", "chunk_id", "doc_id", "start", "end", "text", "query"), 6000).where("citation is not null")
+    return rerank.extractive_answers(packed.select("query_id", "query", "rank", "citation", "text"))
+
+
 # Store
 
 
