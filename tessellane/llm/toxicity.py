@@ -205,7 +205,7 @@ def _logits(model: Model, texts: list[str]) -> np.ndarray:
 def calibrate(model: Model, languages: list[str], logits: np.ndarray, labels: np.ndarray) -> None:
     """For each language the shift at which most of its rows are on the right side; the widest gap of the best ones."""
     for lang in LANGUAGES:
-        own = np.array([x == lang for x in languages])
+        own = np.array([x == lang for x in languages], bool)
         y, z = labels[own], logits[own]
         if len(y) < 20 or y.min() == y.max():
             continue

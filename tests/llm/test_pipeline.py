@@ -117,22 +117,101 @@ def test_run_is_the_stages(spark, tables):
     assert (whole.groupby("sequence_id").length.sum() <= 1024).all()
 
 
+def brute_targets(sizes):
+    """Water-filling, source by source, until nobody is above twice its size."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    left, open_, out = 1.5 * sum(sizes.values()), set(order), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if 2 * sizes[s] <= level * weight[s]]
+        if not full:
+            return out | {s: level * weight[s] for s in open_}
+        for s in full:
+            out[s] = 2 * sizes[s]
+            left -= out[s]
+            open_.remove(s)
+    return out
+
+
+def brute_stages(spark, folder):
+    """The first three stages by plain Python, but for the training: lists of rows."""
+    import hashlib
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    rows = [r for r in docs.collect() if 1 / (1 + math.exp(-(brute_logit(model, r.text or "") - model.shift.get(toxicity.language_of(r.text or ""), 0.0)))) < 0.5]
+    yield rows
+    rows.sort(key=lambda r: r.doc_id)
+    group = brute_components(list(range(len(rows))), [brute_print(r.text) for r in rows])
+    rows = [r for i, r in enumerate(rows) if group[i] == i]
+    yield rows
+    words = lambda r: len((r.text or "").split())
+    sizes = {}
+    for r in rows:
+        sizes[r.source] = sizes.get(r.source, 0) + words(r)
+    goals, out = brute_targets(sizes), []
+    key = lambda r: hashlib.md5(f"{r.doc_id}:mix:{hashlib.md5((r.text or '').encode()).hexdigest()}".encode()).hexdigest()
+    for source, size in sizes.items():
+        epochs, rest = divmod(math.floor(goals[source]), size) if size else (0, 0)
+        for r in sorted((r for r in rows if r.source == source), key=key):
+            last = max(0, min(words(r), rest))
+            rest -= words(r)
+            out += [r] * (epochs + (last > 0 and 2 * last >= words(r)))
+    yield out
+
+
+def test_stages_equal_brute_force(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    for (name, stage), want in zip(corpus_pipeline.STAGES, brute_stages(spark, tables), strict=False):
+        docs = spark.createDataFrame(stage(spark, docs, tables).collect(), docs.schema)
+        assert sorted(map(tuple, docs.collect()), key=str) == sorted(map(tuple, want), key=str), name
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, tables):
+    odd = [(None, None, None, None, None), (None, "", None, None, 0), (1, "a b", "en", None, 3), (1, "a b", "en", None, 3), (2, "x " * 30_000, None, "s", 60_000), (3, "\x00 \u2028", "xx", "s", 3), (None, "a b", "en", "s", 3)]
+    for n in (0, len(odd)):
+        start = docs = spark.createDataFrame(odd[:n], SCHEMA)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, tables)
+            assert docs.columns == start.columns
+            docs = spark.createDataFrame(docs.collect(), SCHEMA)
+        packed = corpus_pipeline.pack(spark, docs, tables).collect()
+        assert (len(packed) > 50) == (n > 0) and len({(p.sequence_id, p.offset) for p in packed}) == len(packed)
+
+
+def test_stored_tables_can_be_deleted(spark, tmp_path):
+    from pathlib import Path
+
+    from tessellane.llm import shared
+
+    one, two = (shared.store(spark.range(k), "gone") for k in (3, 4))
+    folder = Path(shared.shared_dir(spark))
+    names = [next(iter(shared._folders(t))) for t in (one, two)]
+    shared.discard_all(spark, two)
+    assert not (folder / names[0]).exists() and two.count() == 4
+    shared.discard(two)
+    assert not (folder / names[1]).exists()
+
+
+def brute_logit(model, text):
+    """Place by place and filter by filter."""
+    own = toxicity.words(text)
+    own += toxicity._PAD[: max(0, max(toxicity.WIDTHS) - len(own))]
+    emb = np.array([sum(model.table[b].astype(float) for b in toxicity.buckets(w)) for w in own])
+    z, m = model.out_bias, 0
+    for i, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            places = [sum(float(emb[s + k] @ model.filters[m + k][:, f]) for k in range(width)) for s in range(len(own) - width + 1)]
+            z += np.tanh(max(places) + model.bias[i, f]) * model.out[i, f]
+        m += width
+    return float(z)
+
+
 def brute_loss(model, texts, labels):
-    """Mean logistic loss, place by place and filter by filter."""
-    total = 0.0
-    for text, label in zip(texts, labels, strict=True):
-        own = toxicity.words(text)
-        own += toxicity._PAD[: max(0, max(toxicity.WIDTHS) - len(own))]
-        emb = [sum(model.table[b] for b in toxicity.buckets(w)) for w in own]
-        z, m = model.out_bias, 0
-        for i, width in enumerate(toxicity.WIDTHS):
-            for f in range(toxicity.FILTERS):
-                places = [sum(float(emb[s + k] @ model.filters[m + k][:, f]) for k in range(width)) for s in range(len(own) - width + 1)]
-                z += np.tanh(max(places) + model.bias[i, f]) * model.out[i, f]
-            m += width
-        p = 1 / (1 + np.exp(-z))
-        total -= label * np.log(p) + (1 - label) * np.log(1 - p)
-    return total / len(texts)
+    """Mean logistic loss."""
+    p = 1 / (1 + np.exp(-np.array([brute_logit(model, t) for t in texts])))
+    return float(-np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p)))
 
 
 def test_gradients_equal_differences():
