@@ -13,22 +13,34 @@ from tessellane.llm.shared import store, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject, learned from ``labels`` on the documents at hand."""
+    """Documents that the classifier doesn't reject, learned from ``labels`` on the documents at hand.
+
+    Null and empty texts are scored as texts without words; repeated rows are scored alike; without labels all stay.
+    """
     return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one of the smallest doc_id."""
+    """One document of each SimHash group: the one of the smallest doc_id.
+
+    Null and empty texts are one group; rows without doc_id come last in theirs; rows that repeat in doc_id and text are one.
+    """
     return simhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, each as often as its source's target asks for."""
+    """Whole documents, each as often as its source's target asks for.
+
+    Null sources are one source; documents without words come in whole epochs only; repeated rows count each.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens and their places in sequences."""
+    """Pieces of at most 1024 tokens and their places in sequences.
+
+    Null and empty texts are the end id alone; repeated rows are packed each. In all stages an empty table gives an empty table.
+    """
     return packing.pack_documents(docs)
 
 
