@@ -469,12 +469,49 @@ def chunk_easy(spark, sf_dir):
     return _cut(spark, sf_dir, "easy")
 
 
-@query()
+def _parts(marks: str, text: str) -> str:
+    """The stripped parts of a text that end after one of ``marks``, without empty ones."""
+    return f"list_filter(list_transform(string_split(regexp_replace({text}, '([{marks}])[{_WS}]*', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIPPED}), lambda x: x <> '')"
+
+
+_PARAGRAPHS = f"""paras AS (SELECT doc_id, p, row_number() OVER () AS pos FROM (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(text, '\\n[{_WS}]*\\n', chr(1), 'g'), chr(1)), lambda x: {_STRIPPED}), lambda x: x <> '')) AS p FROM documents WHERE text IS NOT NULL))"""
+
+
+def _sums(parts: str, each: str) -> str:
+    """0 and the running totals of an expression over a list."""
+    return f"list_transform(range(len({parts}) + 1), lambda k: coalesce(list_sum(list_transform({parts}[1:k], lambda x: {each})), 0)::BIGINT)"
+
+
+def _groups(walk: str, source: str, key: str, size: int, overlap: int) -> str:
+    """Groups of parts with whole-part overlap: ``walk`` (key, parts, cum, s, e) follows each row of ``source`` (key, parts, cum)."""
+    stop = lambda s, e: f"greatest({e} + 1, len(list_filter(cum, lambda x: x <= cum[{s} + 1] + {size})) - 1)"
+    return f"""{walk}({key}, parts, cum, s, e) AS (SELECT {key}, parts, cum, 0::BIGINT, ({stop("0", "0")})::BIGINT FROM {source} WHERE len(parts) > 0
+  UNION ALL SELECT {key}, parts, cum, ns, ({stop("ns", "e")})::BIGINT FROM (SELECT *, least(e - 1, greatest(s, len(list_filter(cum, lambda x: x < cum[e + 1] - {overlap})))) AS ns FROM {walk} WHERE e < len(parts)))"""
+
+
+@query(f"""WITH RECURSIVE {_PARAGRAPHS},
+sent AS (SELECT doc_id, pos, list_filter(string_split(regexp_replace(p, '([。．！？!?])', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '[^{_WS}]')) AS parts FROM paras WHERE length(p) > 400),
+sums AS (SELECT doc_id, pos, parts, {_sums("parts", "length(x)")} AS cum FROM sent),
+{_groups("inner_", "sums", "doc_id, pos", 400, 50)},
+whole AS (SELECT doc_id, pos, s, array_to_string(parts[s + 1 : e], '') AS w FROM inner_),
+small AS (SELECT doc_id, pos, 0 AS s, 0 AS k, p AS part FROM paras WHERE length(p) <= 400
+  UNION ALL SELECT doc_id, pos, s, k, substring(w, k + 1, 400) FROM (SELECT doc_id, pos, s, w, unnest(CASE WHEN length(w) <= 400 THEN [0] ELSE range(0, length(w), 350) END) AS k FROM whole)),
+docs AS (SELECT doc_id, list(part ORDER BY pos, s, k) AS parts FROM small GROUP BY 1),
+dsum AS (SELECT doc_id, parts, {_sums("parts", "length(x)")} AS cum FROM docs),
+{_groups("outer_", "dsum", "doc_id", 400, 50)}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, e) AS ordinal, NULL::BIGINT AS start, NULL::BIGINT AS "end", array_to_string(parts[s + 1 : e], chr(10)) AS chunk,
+  coalesce(list_filter(parts[1 : least(e + 1, len(parts))], lambda x: regexp_matches(x, '^(?:#{{1,6}}[{_WS}]|【[^】]+】)'))[-1], '') AS heading FROM outer_""")
 def chunk_kit(spark, sf_dir):
     return _cut(spark, sf_dir, "kit")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PARAGRAPHS},
+sent AS (SELECT doc_id, pos, CASE WHEN length(p) <= 400 THEN [p] ELSE {_parts("。！？!?；;", "p")} END AS parts FROM paras),
+sums AS (SELECT doc_id, pos, parts, {_sums("parts", "length(x) + 1")} AS cum FROM sent),
+walk(doc_id, pos, parts, cum, s, e) AS (SELECT doc_id, pos, parts, cum, 0::BIGINT, least(len(list_filter(cum, lambda x: x < 400)), len(parts))::BIGINT FROM sums
+  UNION ALL SELECT doc_id, pos, parts, cum, ns, least(len(list_filter(cum, lambda x: x < cum[ns + 1] + 400)), len(parts))::BIGINT FROM (SELECT *, greatest(s + 1, len(list_filter(cum, lambda x: x <= cum[e + 1] - 60)) - 1) AS ns FROM walk WHERE e < len(parts))),
+made AS (SELECT doc_id, pos, s, list_transform([array_to_string(parts[s + 1 : e], '')], lambda x: {_STRIPPED})[1] AS chunk FROM walk)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, s) AS ordinal, NULL::BIGINT AS start, NULL::BIGINT AS "end", NULL::VARCHAR AS heading, chunk FROM made WHERE chunk <> ''""")
 def chunk_pro(spark, sf_dir):
     return _cut(spark, sf_dir, "pro")
 
@@ -501,11 +538,6 @@ def pack_skip(spark, sf_dir):
     return rerank.pack_skipping(hits, 2000).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "citation", "reason")
 
 
-def _parts(marks: str, text: str) -> str:
-    """The stripped parts of a text that end after one of ``marks``, without empty ones."""
-    return f"list_filter(list_transform(string_split(regexp_replace({text}, '([{marks}])[{_WS}]*', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_STRIPPED}), lambda x: x <> '')"
-
-
 def _tokens(x: str, tok: str) -> str:
     return TOK[tok].replace("coalesce(text, '')", x)
 
