@@ -9,6 +9,8 @@ from tessellane.llm.shared import discard, store
 
 #: Rounds halve the longest path to a root at least, so this covers any graph that fits a cluster.
 MOST_ROUNDS = 60
+#: A node with fewer rows is no hub.
+LEAST_HUB = 128
 
 
 def _is_star_forest(edges: DataFrame) -> bool:
@@ -19,12 +21,29 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return per_node.where((F.col("names") > 1) | ((F.col("names") > 0) & (F.col("named") > 0))).isEmpty()
 
 
+def _beside(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """u, v, m of ``rows`` (u, v) and ``nodes`` (u, m, n rows of u).
+
+    Nodes with more rows than a quarter of what a task should get are hubs; there are fewer than four for each task. A
+    hub's rows are dealt over salts, and its one row of ``nodes`` is repeated for each.
+    """
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+    sized = store(nodes, "nodes")
+    most = F.greatest(F.lit(LEAST_HUB), F.lit(-(-(sized.agg(F.sum("n")).first()[0] or 0) // (4 * parts))))
+    hubs = sized.where(F.col("n") > most).select("u", F.ceil(F.col("n") / most).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    left = rows.join(F.broadcast(hubs), "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), salts).cast("int").alias("salt"))
+    right = sized.join(F.broadcast(hubs), "u", "left").select("u", "m", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return left.join(right, ["u", "salt"]).select("u", "v", "m")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node that has a link to another; component is the smallest node reachable.
 
     Alternating large-star and small-star steps: in each, a node's neighbours are linked to its smallest neighbour, so
     the table never has more rows than links it began with. A star's centre never gathers its neighbours: steps are
-    ``min`` by key (combined before the shuffle) joined back on the key, where AQE splits a hot key. Each round is
+    ``min`` by key (combined before the shuffle) joined back on the key, where the rows of a hub are salted. Each round is
     written to the shared folder; the loop ends when all links lead straight to their component's smallest node, and a
     RuntimeError is raised if they don't after ``MOST_ROUNDS``.
     """
@@ -32,11 +51,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = store(edges, "links")
     for _ in range(MOST_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _beside(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: each node and its smaller neighbours meet at the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        moved = _beside(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = store(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         discard(edges)
         edges = after

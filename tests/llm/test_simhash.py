@@ -142,6 +142,31 @@ def test_components_say_when_they_give_up(spark, monkeypatch):
         components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long"))
 
 
+def test_hubs_are_salted_and_exact(spark, monkeypatch):
+    from tessellane.llm import components as module
+
+    monkeypatch.setattr(module, "LEAST_HUB", 8)
+    rng = random.Random(5)
+    links = [(0, i) for i in range(1, 300)] + [(900, i) for i in range(901, 1100)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)] + [(299, 2400)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {x: root(x) for x in linked}
+    rows = spark.createDataFrame([(0, i) for i in range(200)] + [(1, 5)], "u long, v long")
+    nodes = spark.createDataFrame([(0, 7, 200), (1, 8, 1)], "u long, m long, n long")
+    beside = module._beside(rows, nodes)
+    assert sorted(map(tuple, beside.collect())) == sorted([(0, i, 7) for i in range(200)] + [(1, 5, 8)])
+
+
 def test_components_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 200)] + [(500, 501), (7, 7)], "a long, b long")
     got = dict(map(tuple, components(links).collect()))
