@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessellane.functions import numeric, text
 from tessellane.operators import chunking, evaluate, index, rerank, retrieval, search, stats, store
-from tessellane.sources import files
+from tessellane.sources import files, sinks
 from tessellane.streaming import counters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,9 +105,32 @@ def tokens(spark, sf_dir):
     return got.select(F.col("chunk_id").alias("doc_id"), F.size("tokens").cast("long").alias("n_tokens"), F.size(F.array_distinct("tokens")).cast("long").alias("n_terms"))
 
 
-@query("SELECT doc_id, " + ", ".join(f"CAST(len({TOK[k]}) AS BIGINT) AS {k}" for k in TOK) + " FROM documents")
+@query("SELECT doc_id, " + ", ".join(f"CAST(len({TOK[k]}) AS BIGINT) AS {k}, md5(array_to_string({TOK[k]}, ' ')) AS {k}_tokens" for k in TOK) + " FROM documents")
 def tokenizers(spark, sf_dir):
-    return corpus(spark, sf_dir).select("doc_id", *[F.size(f(F.col("text"))).cast("long").alias(k) for k, f in text.TOKENIZERS.items()])
+    """How many tokens, and which (a digest of them, in order)."""
+    cols = []
+    for k, f in text.TOKENIZERS.items():
+        got = f(F.col("text"))
+        cols += [F.size(got).cast("long").alias(k), F.md5(F.array_join(got, " ")).alias(f"{k}_tokens")]
+    return corpus(spark, sf_dir).select("doc_id", *cols)
+
+
+_CJK_RUN = r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}]+"
+_RUN_PARTS = "list_concat(string_split(r, ''), list_transform(range(1, length(r)), lambda i: r[i : i + 1]))"
+_HAN_STOP = ", ".join(f"'{w}'" for w in text.HAN_STOP)
+
+
+@query(rf"""WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') || ' ' || ['什么是回滚流程，V2 一下', '部署かな検索 Deploy_x', '한국어 AI、㐀㐁是'][turn % 3 + 1] AS t FROM conversations),
+p AS (SELECT *, list_transform(regexp_extract_all(t, '[a-zA-Z0-9]+|[\x{{4e00}}-\x{{9fff}}]'), lambda x: lower(x)) AS w FROM m)
+SELECT conv_id, turn, role, list_concat(w, list_filter(list_transform(range(1, len(w)), lambda i: CASE WHEN w[i] >= '一' AND w[i + 1] >= '一' THEN w[i] || w[i + 1] END), lambda x: x IS NOT NULL)) AS pro,
+  list_filter(flatten(list_transform(regexp_extract_all(lower(t), '[a-z0-9_]+|[\x{{3400}}-\x{{9fff}}]+'), lambda r: CASE WHEN r < '㐀' THEN [r] ELSE {_RUN_PARTS} END)), lambda x: NOT list_contains([{_STOP}, {_HAN_STOP}], x)) AS lab,
+  list_concat(regexp_extract_all(lower(t), '[a-z0-9]+'), flatten(list_transform(regexp_extract_all(t, '{_CJK_RUN}'), lambda r: {_RUN_PARTS}))) AS easy,
+  regexp_extract_all(lower(t), '[a-z0-9]+|[\x{{3040}}-\x{{30ff}}\x{{4e00}}-\x{{9fff}}\x{{ac00}}-\x{{d7af}}]') AS kit FROM p""")
+def cjk_tokens(spark, sf_dir):
+    """Conversations hold no Han, kana or Hangul, so some is added, by turn."""
+    added = F.get(F.array(*map(F.lit, ("什么是回滚流程，V2 一下", "部署かな検索 Deploy_x", "한국어 AI、㐀㐁是"))), (F.col("turn") % 3).cast("int"))
+    t = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), added)
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", *[f(t).alias(k) for k, f in text.TOKENIZERS.items()])
 
 
 @query(base() + " SELECT chunk_id, term, tf FROM tf")
@@ -642,6 +665,19 @@ def csv_records(spark, sf_dir):
     return files.records_as_text(_as_csv(read(spark, sf_dir, "region").select("r_regionkey", "r_name")))
 
 
+@query("""SELECT 'nations' AS path, n_nationkey + 3 AS line, 'Nations of the world' AS heading, [n_name, CAST(n_regionkey AS VARCHAR)] AS cells FROM nation""")
+def markdown_rows(spark, sf_dir):
+    """Rows of a Markdown page that the sink's row function writes, read back by the source."""
+    n = read(spark, sf_dir, "nation").select((F.col("n_nationkey") + 3).cast("int").alias("line"), sinks.markdown_row(F.col("n_name"), F.col("n_regionkey")).alias("text"))
+    head = spark.createDataFrame([(0, "## Nations of the world"), (1, "| name | region |"), (2, "|---|:-:|"), (1000, "no row"), (1001, "| no | row")], "line int, text string")
+    return files.markdown_tables(head.unionByName(n).withColumn("path", F.lit("nations"))).select("path", "line", "heading", "cells")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_fields(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
 @query("SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY 1")
 def last_user_turn(spark, sf_dir):
     return read(spark, sf_dir, "conversations").where("role = 'user' and text is not null").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("text"))
@@ -729,6 +765,20 @@ def session_total(spark, sf_dir):
     return counters.running_total(got, "user_id", "ts", "delta", "event_id").select("event_id", F.round("total", 4).alias("total"))
 
 
+@query(_RATES + """, t AS (SELECT user_id, ts, delta, CASE WHEN sec > 0 THEN delta / sec END AS rate FROM r)
+SELECT user_id, ts, round(delta, 6) AS delta, round(rate, 6) AS rate, round(sum(coalesce(delta, 0)) OVER w, 4) AS total,
+  round(avg(rate) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 6) AS recent_mean FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)""")
+def stream_rates(spark, sf_dir):
+    """The stateful stream over all events, as a stream of files; its sink is read back."""
+    path = f"{index.working_dir(spark)}/tessellane-stream-{uuid.uuid4().hex}"
+    events = read(spark, sf_dir, "events").select("user_id", "ts", "value")
+    events.write.parquet(f"{path}/in")  # a stream of files reads folders
+    stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+    out = counters.stream_rates(stream, "user_id", "ts", "value")
+    out.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/rows").select("user_id", "ts", *[F.round(c, n).alias(c) for c, n in (("delta", 6), ("rate", 6), ("total", 4), ("recent_mean", 6))])
+
+
 @query("SELECT event_id, round(sum(value) OVER w, 4) AS recent_sum, max(value) OVER w AS recent_max, count(value) OVER w AS recent_n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)")
 def last_60(spark, sf_dir):
     got = counters.recent(read(spark, sf_dir, "events"), "user_id", "ts", "value", tie="event_id")

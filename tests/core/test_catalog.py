@@ -9,7 +9,7 @@ from tessellane.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FEW = ["bm25_topk", "fnv_tfidf", "hybrid_rrf", "dense_topk", "pack_break", "eval_hit_mrr", "documents_listing", "largest_remainder", "counter_rate", "next_token", "xref_resolve", "citation_check", "rerank_weighted", "rerank_coverage", "rerank_overlap", "hash_embedding", "fnv_topk", "expand_query", "tier_counts"]
+FEW = ["bm25_topk", "fnv_tfidf", "hybrid_rrf", "dense_topk", "pack_break", "eval_hit_mrr", "documents_listing", "largest_remainder", "counter_rate", "next_token", "xref_resolve", "citation_check", "rerank_weighted", "rerank_coverage", "rerank_overlap", "hash_embedding", "fnv_topk", "expand_query", "tier_counts", "tokenizers", "cjk_tokens", "markdown_rows", "stream_rates", "chunk_lab", "chunk_easy", "chunk_kit", "chunk_pro", "mmr_select", "pack_skip", "extractive_answer", "key_sentences"]
 
 
 @pytest.fixture(scope="module")
