@@ -11,6 +11,9 @@ line-wrapped licences and notices of a line each are found.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,14 +147,45 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit("S"), F.trim(out), F.lit("S")), "[SL]{2,}", "S")
 
 
+def _any_of(forms: list[str]) -> str:
+    """A regular expression of the forms, those that begin alike together; the longest where several fit."""
+    if len(forms) == 1:
+        return forms[0].replace(" ", "[ L]")
+    begins: dict[str, list[str]] = {}
+    for form in forms:
+        begins.setdefault(form[:1], []).append(form[1:])
+    empty = begins.pop("", None)
+    parts = [first.replace(" ", "[ L]") + _any_of(sorted(set(rest))) for first, rest in sorted(begins.items())]
+    return parts[0] if len(parts) == 1 and empty is None else f"(?:{'|'.join(parts)}{'|' if empty is not None else ''})"
+
+
+def _needed_words(forms: set[str]) -> list[str]:
+    """A few words of which every form has one, so a text without any of them holds no form."""
+    left, out = {f: {w for w in f.split() if len(w) > 5} or set(f.split()) for f in forms}, []
+    while left:
+        counts: dict[str, int] = {}
+        for words in left.values():
+            for w in words:
+                counts[w] = counts.get(w, 0) + 1
+        out.append(max(sorted(counts), key=lambda w: counts[w]))
+        left = {f: words for f, words in left.items() if out[-1] not in words}
+    return out
+
+
 def known_sentences(text: Column, known) -> Column:
     """The known sentences (normalised) in text order: from mark to mark, over single line breaks, the longest where several fit."""
-    forms = sorted((sentence for _, sentence in known), key=lambda s: (-len(s), s))
-    pattern = f"[SL](?:{'|'.join(s.replace(' ', '[ L]') for s in forms)})(?=[SL])"
+    forms = {sentence for _, sentence in known}
+    pattern = f"[SL]{_any_of(sorted(forms))}(?=[SL])"
     found = F.regexp_extract_all(marked(text), F.lit(pattern), F.lit(0))
     return F.transform(found, lambda s: F.translate(F.substring(s, 2, 1_000_000), "L", " "))
 
 
+def may_hold(text: Column, known) -> Column:
+    """Whether a text has a word that every known sentence needs one of; only those are worth normalising."""
+    lower = F.translate(text, _UPPER, _LOWER)
+    return reduce(or_, [F.contains(lower, F.lit(w)) for w in _needed_words({sentence for _, sentence in known})])
+
+
 def _covers(longer: tuple[str, ...], shorter: tuple[str, ...]) -> bool:
     return len(longer) > len(shorter) and f",{','.join(shorter)}," in f",{','.join(longer)},"
 
@@ -168,6 +202,8 @@ def scan(docs: DataFrame, known=SENTENCES, rules=RULES, text: str = "text") -> D
         raise ValueError(f"at most {MOST_SENTENCES} sentences and rules")
     table = F.create_map(*[F.lit(x) for name, sentence in known for x in (sentence, name)])
     ids = F.filter(F.transform(known_sentences(whole_text(text), known), lambda s: F.try_element_at(table, s)), lambda i: i.isNotNull())
+    # The condition stands outside, where it is compiled; functions with lambdas and all in them are interpreted.
+    ids = F.when(may_hold(whole_text(text), known), ids).otherwise(F.array().cast("array<string>"))
     found = docs.select("doc_id", ids.alias("ids")).withColumn("row", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
     holds = {seq: F.contains(F.col("row"), F.lit(f",{','.join(seq)},")) for _, _, seq in rules}
     hits: dict[tuple[str, str], Column] = {}
@@ -180,9 +216,10 @@ def scan(docs: DataFrame, known=SENTENCES, rules=RULES, text: str = "text") -> D
     named = [F.when(hit, F.lit(name)) for (name, _), hit in hits.items()]
     licences = [F.when(hit, F.lit(licence)) for (_, licence), hit in hits.items()]
     kept = lambda cols: F.array_compact(F.array(*cols))
+    where_some = lambda c: F.when(F.size("ids") > 0, c).otherwise("")
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"),
-        F.array_join(kept(named), ",").alias("rules"), F.array_join(F.array_sort(F.array_distinct(kept(licences))), ",").alias("licenses"),
+        where_some(F.array_join(kept(named), ",")).alias("rules"), where_some(F.array_join(F.array_sort(F.array_distinct(kept(licences))), ",")).alias("licenses"),
     )
 
 

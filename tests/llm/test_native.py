@@ -279,6 +279,14 @@ SPDX-License-Identifier: EPL-2.0""",
 }
 
 
+def test_every_sentence_alone_is_found(spark):
+    made = [(k, s.upper()) for k, (_, s) in enumerate(licenses.SENTENCES)]
+    got = {r.doc_id: r.sentence_ids for r in licenses.scan(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == {k: i for k, (i, _) in enumerate(licenses.SENTENCES)}
+    needed = licenses._needed_words({s for _, s in licenses.SENTENCES})
+    assert len(needed) < 15 and all(any(w in s for w in needed) for _, s in licenses.SENTENCES)
+
+
 def test_headers_of_many_licences(spark):
     shapes = [lambda t: t, lambda t: "\n".join(f"# {x}".rstrip() for x in t.split("\n")), lambda t: "/*\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n */\n", lambda t: "Some words before.\n\n" + t + "\n\nMore words after."]
     shapes.append(lambda t: "\n\n".join(" ".join(p.split()) for p in t.split("\n\n")))
