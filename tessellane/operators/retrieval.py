@@ -218,19 +218,18 @@ def hybrid(corpus: DataFrame, queries: DataFrame, top_k: int = 4, mode: str = "h
 
 
 def related_terms(corpus: DataFrame, terms: DataFrame, n: int = 5, tokenizer: str = "pro") -> DataFrame:
-    """term, other, together, rank: the terms that share most chunks with each of ``terms`` (term)."""
-    split = tokens(corpus, tokenizer).select("chunk_id", F.array_distinct("tokens").alias("tokens"))
-    wanted = terms.select("term").distinct()
-    having = split.select("chunk_id", "tokens", F.explode("tokens").alias("term")).join(wanted, "term")
-    pairs = having.select("term", F.explode("tokens").alias("other")).where("term <> other").groupBy("term", "other").agg(F.count("*").alias("together"))
-    order = Window.partitionBy("term").orderBy(F.col("together").desc(), "other")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    """term, other, together, rank of a corpus that has no index yet: see ``search.related``."""
+    from tessellane.operators import index, search
+
+    return search.related(index.build(corpus, tokenizer), terms, n)
 
 
-def expanded(corpus: DataFrame, queries: DataFrame, n: int = 4, tokenizer: str = "pro") -> DataFrame:
-    """query_id, text: the question with up to ``n`` related terms, taken term by term in question order."""
+def expanded(corpus: DataFrame, queries: DataFrame, n: int = 4, tokenizer: str = "pro", made=None) -> DataFrame:
+    """query_id, text: the question with up to ``n`` related terms, taken term by term in question order. ``made`` is the corpus's index, if there is one."""
+    from tessellane.operators import index, search
+
     own = tokens(queries, tokenizer, "query_id").select("query_id", F.posexplode("tokens").alias("pos", "term")).where(F.length("term") > 1)
-    related = related_terms(corpus, own.select("term"), n, tokenizer).where(F.length("other") > 1)
+    related = search.related(made or index.build(corpus, tokenizer), own.select("term"), n).where(F.length("other") > 1)
     first = own.join(related, "term").groupBy("query_id", "other").agg(F.min(F.struct("pos", "rank")).alias("at"))
     order = Window.partitionBy("query_id").orderBy("at.pos", "at.rank")
     few = first.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n)

@@ -277,7 +277,7 @@ SELECT term, other, together, rank FROM (SELECT *, row_number() OVER (PARTITION
 def related_terms(spark, sf_dir):
     """Of each passage's first word, in all documents."""
     first = questions(spark, sf_dir).select(F.lower(F.regexp_extract("text", "[a-zA-Z0-9]+", 0)).alias("term"))
-    return retrieval.related_terms(corpus(spark, sf_dir), first, 5).withColumn("rank", F.col("rank").cast("long"))
+    return search.related(indexed(spark, sf_dir, "pro", "pro", 4096), first, 5).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(base("pro") + """, a AS (SELECT item_id AS query_id, string_split(coalesce(text, ''), ' ')[1] || ' ' || string_split(coalesce(text, ''), ' ')[2] AS asked FROM benchmark),
@@ -292,7 +292,7 @@ def expand_query(spark, sf_dir):
     """The first two words of each passage, with terms of all documents."""
     parts = F.split("text", " ")
     asked = questions(spark, sf_dir).select("query_id", F.concat(F.get(parts, F.lit(0)), F.lit(" "), F.get(parts, F.lit(1))).alias("text"))
-    return retrieval.expanded(corpus(spark, sf_dir), asked, 4)
+    return retrieval.expanded(corpus(spark, sf_dir), asked, 4, made=indexed(spark, sf_dir, "pro", "pro", 4096))
 
 
 # Reranking, selection, packing, answers

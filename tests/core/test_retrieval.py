@@ -198,6 +198,28 @@ def test_related_and_expanded(spark):
     assert out == {1: "apple car fruit sweet", 2: "unknown"}
 
 
+@pytest.mark.parametrize("frequent", [3, 8, 2048])
+def test_related_equals_brute_force(spark, monkeypatch, frequent):
+    import random
+
+    monkeypatch.setattr(search, "FREQUENT", frequent)
+    monkeypatch.setattr(search, "ROWS", 16)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(40)]
+    docs = {i: rng.choices(words, [1 / (k + 1) for k in range(40)], k=rng.randrange(9)) for i in range(120)}
+    made = index.build(spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "chunk_id int, text string").repartition(3), "pro")
+    asked = ["w0", "w1", "w7", "w30", "w39", "none"]
+    want = set()
+    for w in asked:
+        counts = {}
+        for t in docs.values():
+            for o in set(t) - {w} if w in t else ():
+                counts[o] = counts.get(o, 0) + 1
+        want |= {(w, o, c, k) for k, (c, o) in enumerate(sorted(((-c, o) for o, c in counts.items()))[:4], 1) for c in [-c]}
+    got = {(r.term, r.other, r.together, r["rank"]) for r in search.related(made, spark.createDataFrame([(w,) for w in asked] + [(None,)], "term string"), 4).collect()}
+    assert got == want
+
+
 def brute_mmr(rows, k, lam, like):
     left, chosen = list(rows), []
     while left and len(chosen) < k:
