@@ -55,3 +55,9 @@ def test_bm25_needs_no_vectors(spark, docs):
     made = index.build(docs)
     assert index.with_vectors(made, "lab", 4).chunks is made.chunks
     assert made.chunks.where("norm is not null").count() == 0
+
+
+def test_tokens_are_made_once_a_row(spark):
+    df = spark.createDataFrame([("回滚流程 v2",)], "text string").repartition(1)
+    plan = df.select(text.tok_pro(F.col("text")).alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 2
