@@ -1,5 +1,7 @@
 """What keeps searches bounded: parts of batches, weights looked up without a shuffle, matrix products in place of joined pairs."""
 
+import time
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +63,18 @@ def test_tokens_are_made_once_a_row(spark):
     df = spark.createDataFrame([("回滚流程 v2",)], "text string").repartition(1)
     plan = df.select(text.tok_pro(F.col("text")).alias("t"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_extract_all") == 2
+
+
+def test_ngrams_of_any_text(spark):
+    texts = ["", "a", "ab", "a\nb", "𠀀か𠀁 回", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(text.ngrams(F.col("t"), 1), text.ngrams(F.col("t"), 2)).collect()
+    assert [list(r) for r in got] == [[None if t is None else [t[i : i + n] for i in range(len(t) - n + 1)] for n in (1, 2)] for t in texts]
+
+
+def test_long_runs_are_cut_in_one_pass(spark):
+    run = "回滚流程" * 15_000
+    df = spark.createDataFrame([(f"v2 {run} the end",)], "text string").repartition(1)
+    began = time.perf_counter()
+    got = df.select(*[f(F.col("text")).alias(k) for k, f in text.TOKENIZERS.items()], text.feat_kit(F.col("text"), 2).alias("features")).first()
+    assert time.perf_counter() - began < 12  # by substrings it took 30 s and more, four times as much for twice the length
+    assert got.asDict() == {k: f(f"v2 {run} the end") for k, f in text.LISTS.items()} | {"features": text.list_features(f"v2 {run} the end")}
